@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caddis.llm.blend import blended_ranking
+from caddis.llm.encode import encode_texts, token_counts
+from caddis.llm.packing import pack, packing_report
+from caddis.llm.repetition import repeated_share, repetitive
 from caddis.llm.scripts import lookalike_pairs, with_consistent_form
 from caddis.sources.tables import table
 
@@ -41,6 +44,41 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return blended_ranking(scored_games(spark, d), "product_id", {"critic": 1, "user": 1, "review_count": 1})[0]
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p4_ranking": p4_ranking}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(table(spark, d, "documents"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "containers").where("container_kind IS NOT NULL AND capacity_tokens > 0")
+    capacities = {r[0]: r[1] for r in kinds.select("container_kind", "capacity_tokens").collect()}  # a few fixed kinds
+    return pack(token_counts(table(spark, d, "documents")), capacities)
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(_packed(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetitive(table(spark, d, "documents"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_share(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
+    "p4_ranking": p4_ranking,
+    "p7_ids": p7_ids,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
+}
 
 ORACLE: dict[str, str] = {}
