@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caddis.llm.blend import blended_ranking
 from caddis.llm.encode import encode_texts, token_counts
+from caddis.llm.entities import match_records
 from caddis.llm.packing import pack, packing_report
 from caddis.llm.repetition import repeated_share, repetitive
 from caddis.llm.scripts import lookalike_pairs, with_consistent_form
@@ -70,10 +71,46 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repeated_share(table(spark, d, "documents"))
 
 
+def _latest(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per product: its latest non-empty title and the other columns' latest non-empty values."""
+    filled = {c: F.when(F.col(c).cast("string") != "", F.col(c)) if t == "string" else F.when(F.size(c) > 0, F.col(c)) for c, t in df.select(*columns).dtypes}
+    return df.where("product_id IS NOT NULL").groupBy("product_id").agg(*[F.max_by(v, F.when(v.isNotNull(), F.struct(F.col("fetched_at"), v.cast("string")))).alias(c) for c, v in filled.items()])
+
+
+def review_entries(spark: SparkSession, d: str) -> DataFrame:
+    """One row per slug of the review cache; a missing title is read off the slug, without a namesake's year."""
+    entries = table(spark, d, "mc_cache").where("slug IS NOT NULL")
+    genres = F.filter(F.transform("genres", lambda g: g["name"]), lambda g: g.isNotNull() & (g != ""))
+    one = entries.groupBy(F.col("slug").alias("_id")).agg(
+        F.min_by(F.when(F.col("title") != "", F.col("title")), F.when(F.col("title") != "", F.col("ordinal"))).alias("title"),
+        F.min(F.when(F.col("release_date").rlike("[0-9]"), F.col("release_date"))).alias("_date"),
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce(genres, F.array().cast("array<string>"))))).alias("_genres"),
+        F.coalesce(F.max(F.col("type") != "game-title"), F.lit(False)).alias("_dlc"),
+    )
+    spoken = F.translate(F.regexp_replace("_id", r"-(19|20)\d\d$", ""), "-", " ")
+    return one.select("_id", F.coalesce("title", spoken).alias("_title"), "_date", "_genres", "_dlc")
+
+
+def unmatched_games(spark: SparkSession, d: str, attached: bool = False) -> DataFrame:
+    games = table(spark, d, "games")
+    having = games.groupBy("product_id").agg(F.max(F.col("metacritic").isNotNull()).alias("_has")).where(F.col("_has") == attached).select("product_id")
+    return _latest(games, "title", "release_date", "categories").join(having, "product_id").select(F.col("product_id").alias("_id"), F.col("title").alias("_title"), F.col("release_date").alias("_date"), F.col("categories").alias("_genres"), F.lit(False).alias("_dlc"))
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_records(unmatched_games(spark, d), review_entries(spark, d)).select(F.col("l_id").alias("product_id"), F.col("r_id").alias("slug"), "confidence")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_matches(spark, d).select("product_id", "slug")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p4_ranking": p4_ranking,
+    "p6_found": p6_found,
+    "p6_matches": p6_matches,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p8_report": p8_report,
