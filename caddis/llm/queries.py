@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caddis.llm.blend import blended_ranking
 from caddis.llm.encode import encode_texts, token_counts
 from caddis.llm.entities import match_records
+from caddis.llm.listings import group_listings, same_item_pairs
 from caddis.llm.packing import pack, packing_report
 from caddis.llm.repetition import repeated_share, repetitive
 from caddis.llm.scripts import lookalike_pairs, with_consistent_form
@@ -77,6 +78,20 @@ def _latest(df: DataFrame, *columns: str) -> DataFrame:
     return df.where("product_id IS NOT NULL").groupBy("product_id").agg(*[F.max_by(v, F.when(v.isNotNull(), F.struct(F.col("fetched_at"), v.cast("string")))).alias(c) for c, v in filled.items()])
 
 
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """One row per product of the three catalogues, with its latest non-empty title."""
+    parts = [table(spark, d, t).select("product_id", "title", "fetched_at") for t in ("xgp", "psplus", "switch_catalog")]
+    return _latest(parts[0].unionByName(parts[1]).unionByName(parts[2]), "title")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return group_listings(listings(spark, d)).select(F.col("id").alias("product_id"), F.col("group").alias("group_id"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_item_pairs(group_listings(listings(spark, d))).select(F.col("id_a").alias("product_id_a"), F.col("id_b").alias("product_id_b"))
+
+
 def review_entries(spark: SparkSession, d: str) -> DataFrame:
     """One row per slug of the review cache; a missing title is read off the slug, without a namesake's year."""
     entries = table(spark, d, "mc_cache").where("slug IS NOT NULL")
@@ -108,6 +123,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_ranking": p4_ranking,
     "p6_found": p6_found,
     "p6_matches": p6_matches,

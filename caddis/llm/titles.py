@@ -52,10 +52,11 @@ _MAKER = re.compile(rf"^\W*{MAKERS} presents\b|\bby {MAKERS}(?=\W*$)|^\W*{MAKERS
 _TRACK = re.compile(r"(?<![a-z])(?:(?:the )?original soundtrack|soundtrack|o\.?s\.?t\.?)(?![a-z])")
 _MEMBER = re.compile(r"(?<![a-z])(?:season )?(?:membership|pass)(?![a-z])")
 _SPAN = re.compile(r"(?<![a-z0-9.])(\d+|one|two|three|four|five|six)[ -]*(months?|mos?|years?|yrs?)(?![a-z])\.?")
-_AMOUNT = re.compile(r"(?<![a-z0-9.,])(?:pack of )?(\d[\d,.]*?)( ?k)?(?: ?x)? (credits?|coins?|gems?|shards?|tokens?|points?|gold|crystals?)(?![a-z])(?: (?:bundle|pack))?")
+_AMOUNT = re.compile(r"(?<![a-z0-9.,])(?:pack of )?(\d[\d,.]*?)( ?k)?(?: ?x)? (credits?|coins?|gems?|shards?|tokens?|points?|crystals?)(?![a-z])(?: (?:bundle|pack))?")
 _SERIES = re.compile(r"(?<![a-z0-9])(?:(?:part|vol\.?|volume|chapter|episode|no\.?|#) ?)?#?(\d{1,2}|" + "|".join(sorted([*NUMBER_WORDS, *ROMAN], key=len, reverse=True)) + r")(?![a-z0-9'])")
 _CUT = re.compile(r"[:|()\[\]{}–—;~★☆]+|(?<=\s)-+(?=\s)|\s-+\s|^-+\s|\s-+$|[!?]+(?=\s|$)|\+")
 _ARTICLE = re.compile(r"^(?:the|for|te|th|he|teh|hte|tthe|thhe|thee)(?=\s+\S)")  # with a slip, too
+_GLUED = re.compile(r"^the(?=[a-z]{4,12}of[a-z]{4})")
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "`": "'", "´": "'"})
 # Words that noise leaves behind when a slip hides it, used to tell such remains.
 _EDITION_WORDS = ("edition", "deluxe", "standard", "ultimate", "complete", "definitive", "anniversary", "digital", "version", "membership", "soundtrack", "original", "nintendo", "playstation", "windows", "switch", "preview", "season", "bonus", "content", "presents", "limited", "credits", "shards")
@@ -155,6 +156,6 @@ def parse_title(text: str) -> Title:
             break
     if number > 1 and base and re.search(r"[^\W_]", base):
         parts = [base]  # the number names the game of its series; a subtitle beside it may be left out
-    names = [re.sub(r"[\W_]+", "", _ARTICLE.sub("", p.strip())) for p in parts]
+    names = [_GLUED.sub("", re.sub(r"[\W_]+", "", _ARTICLE.sub("", p.strip()))) for p in parts]
     segments = tuple(n for n in names if n) or (re.sub(r"[\W_]+", "", whole),)
     return Title(segments, " ".join(re.findall(r"[^\W_]+", " ".join(parts))), number, kind, amount)
