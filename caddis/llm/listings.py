@@ -239,7 +239,17 @@ def search(queries: DataFrame, index: DataFrame, c: np.ndarray, probes: int, k:
     keys = ["list", "x", "y"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q bigint, n bigint, cosine float")
     w = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "n")
-    return found.withColumn("_k", F.row_number().over(w)).where((F.col("_k") <= k) | (F.col("cosine") >= near)).select("q", "n", "cosine")
+    return found.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) | (F.col("cosine") >= near)).select("q", "n", "cosine", "rank")
+
+
+def mutual_pairs(found: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(a, b), a < b: names each of which is as near to the other as the other's k-th neighbour or nearer.
+
+    A pair met from one side only, because the other side's probes missed it, is judged by its cosine just the same.
+    """
+    reach = found.where(F.col("rank") <= k).groupBy(F.col("q").alias("n")).agg(F.min("cosine").alias("_c"), F.count("*").alias("_m"))
+    kept = found.join(reach, "n", "left").where(F.col("_c").isNull() | (F.col("_m") < k) | (F.col("cosine") >= F.col("_c") - 1e-6))
+    return kept.select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).distinct()
 
 
 def exact_neighbours(queries: list[tuple[int, bytes]], index: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -320,8 +330,7 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title")
     rows = cut(named(df, key, title).distinct().withColumn("n", F.xxhash64("name")).withColumn("item", F.xxhash64("name", "numeric")))
     names = rows.select("n", "name").dropDuplicates(["n"])
     vectors, c, probes, _ = build_index(names)
-    near = search(vectors, vectors, c, probes)
-    mutual = near.groupBy(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).agg(F.count("*").alias("_m")).where("_m = 2")
+    mutual = mutual_pairs(cut(search(vectors, vectors, c, probes)))
 
     @F.pandas_udf("boolean")
     def alike(x, y):
