@@ -84,7 +84,7 @@ def train_encoder(names: list[str], steps: int = STEPS, seed: int = SEED) -> np.
     for step in range(1, steps + 1):
         start = int(rng.integers(0, len(names) - size + 1))
         batch = names[start : start + size] if step % 2 else [names[i] for i in rng.choice(len(names), size, replace=False)]
-        sides, grads = [], np.zeros_like(table)
+        sides, touched = [], []
         for texts in (batch, [spoil(n, rng) for n in batch]):
             grams = [subwords(n) for n in texts]
             flat = np.concatenate([np.array(g, np.int64) for g in grams])
@@ -101,7 +101,12 @@ def train_encoder(names: list[str], steps: int = STEPS, seed: int = SEED) -> np.
         g /= size * TEMPERATURE
         for (flat, row, z, norm), gz in ((sides[0], g @ b), (sides[1], g.T @ a)):
             inner = (gz - z * (gz * z).sum(1, keepdims=True)) / norm
-            np.add.at(grads, flat, inner[row])
+            touched.append((flat, inner[row]))
+        at, step_grads = np.concatenate([f for f, _ in touched]), np.concatenate([x for _, x in touched])
+        order = np.argsort(at, kind="stable")
+        own, first = np.unique(at[order], return_index=True)
+        grads = np.zeros_like(table)
+        grads[own] = np.add.reduceat(step_grads[order], first, axis=0)
         mean = 0.9 * mean + 0.1 * grads
         square = 0.99 * square + 0.01 * grads * grads
         table -= (0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -114,8 +119,10 @@ def centres(vectors: np.ndarray, lists: int, seed: int = SEED, rounds: int = 8)
     c = vectors[rng.choice(len(vectors), min(lists, len(vectors)), replace=False)].copy()
     for _ in range(rounds):
         own = (vectors @ c.T).argmax(1)
+        order = np.argsort(own, kind="stable")
+        held, first = np.unique(own[order], return_index=True)
         sums = np.zeros_like(c)
-        np.add.at(sums, own, vectors)
+        sums[held] = np.add.reduceat(vectors[order], first, axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-9), c)
     return c
