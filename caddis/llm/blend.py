@@ -45,10 +45,16 @@ def blended_ranking(df: DataFrame, key: str, scores: dict[str, int]) -> tuple[Da
         rows = rows.join(ranks.select(F.col("value").alias(f"_s{i}"), z.alias(f"_z{i}")), f"_s{i}", "left")
     rows = cut(rows)
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
-    entries = rows.agg(*[F.corr(f"_z{i}", f"_z{j}").alias(f"r{i}_{j}") for i, j in pairs]).head() if pairs else []
+    sums = []
+    for i, j in pairs:
+        x, y = (F.when(F.col(f"_z{i}").isNotNull() & F.col(f"_z{j}").isNotNull(), F.col(f"_z{k}")) for k in (i, j))
+        sums += [F.count(x), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)]
+    entries = [v or 0 for v in rows.agg(*sums).head()] if pairs else []
     correlation = np.diag([1.0 if moments[i] > 0 else 0.0 for i in range(len(names))])
-    for (i, j), r in zip(pairs, entries):
-        correlation[i, j] = correlation[j, i] = r if r is not None and np.isfinite(r) else 0.0
+    for at, (i, j) in enumerate(pairs):
+        n, sx, sy, xx, yy, xy = entries[6 * at : 6 * at + 6]
+        spread = (max(n * xx - sx * sx, 0.0) * max(n * yy - sy * sy, 0.0)) ** 0.5
+        correlation[i, j] = correlation[j, i] = (n * xy - sx * sy) / spread if spread > 1e-9 else 0.0
     loadings = first_component(correlation)
     some = F.coalesce(*[F.col(f"_z{i}") for i in range(len(names))]).isNotNull()
     projection = sum((F.coalesce(F.col(f"_z{i}"), F.lit(0.0)) * F.lit(float(w)) for i, w in enumerate(loadings)), F.lit(0.0))
