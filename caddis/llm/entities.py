@@ -125,28 +125,42 @@ def _name(left: str, right: str) -> Column:
     return similarity(left, right)
 
 
+def signatures(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records that differ in anything compared, with how many there are; signature of each record).
+
+    df: _id, _title, _date, _genres (array), _dlc (boolean). Records alike in all that is compared are one point for the
+    matching: a title that a third of all records share costs as much as the different dates and genres it comes with.
+    """
+    parsed = read_titles(df, "_title").where("_r.spellings IS NOT NULL")
+    kind = F.when(F.coalesce("_dlc", F.lit(False)), "dlc").otherwise(F.col("_r.kind")).alias("kind")
+    genres = F.array_sort(F.array_distinct(F.filter(F.coalesce("_genres", F.array().cast("array<string>")), lambda g: g.isNotNull()))).alias("genres")
+    compared = F.struct(F.col("_r.spellings").alias("names"), "_r.number", kind, "_r.amount", _span("_date").alias("span"), genres)
+    rows = cut(parsed.select("_id", compared.alias("of"), F.col("_r.keys").alias("keys")).withColumn("sig", F.md5(F.to_json("of", {"ignoreNullFields": "false"}))))
+    points = rows.groupBy("sig").agg(F.count("*").alias("many"), F.min("_id").alias("one"), F.first("of").alias("of"), F.first("keys").alias("keys"))
+    return points.withColumn("name", F.xxhash64("of.names")), rows.select("sig", "_id")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of records whose names agree up to one slip, with their similarity vectors.
+    """Pairs of signatures whose names agree up to one slip, with their similarity vectors and how many they stand for.
 
-    Both sides: _id, _title, _date, _genres (array), _dlc (boolean). Names meet on hashes of their one-letter deletions,
-    an equi-join in which each record has one row per letter of its name; equal names of a side are joined once.
+    Names meet on hashes of their one-letter deletions, an equi-join in which each distinct name has one row per letter.
     """
-    sides = []
-    for side, df in (("l", left), ("r", right)):
-        parsed = read_titles(df, "_title").where("_r.spellings IS NOT NULL")
-        sides.append(cut(parsed.select(F.col("_id").alias(f"{side}_id"), F.struct(F.col("_r.spellings").alias("names"), "_r.number", F.when(F.col("_dlc"), "dlc").otherwise(F.col("_r.kind")).alias("kind"), "_r.amount", _span("_date").alias("span"), F.array_sort(F.array_distinct(F.coalesce("_genres", F.array()))).alias("genres")).alias(side), F.col("_r.keys").alias("keys"), F.xxhash64("_r.spellings").alias("_n"))))
-    a, b = sides
-    names = lambda df, n: df.select(F.col("_n").alias(n), "keys").dropDuplicates([n]).select(n, F.explode("keys").alias("key"))
+    a = left.select(F.col("sig").alias("l_sig"), F.col("many").alias("l_many"), F.col("of").alias("l"), F.col("name").alias("_a"), "keys")
+    b = right.select(F.col("sig").alias("r_sig"), F.col("many").alias("r_many"), F.col("one").alias("r_id"), F.col("of").alias("r"), F.col("name").alias("_b"), "keys")
+    names = lambda df, n: df.select(n, "keys").dropDuplicates([n]).select(n, F.explode("keys").alias("key"))
     met = names(a, "_a").join(names(b, "_b"), "key").select("_a", "_b").distinct()
-    pairs = met.join(a.withColumnRenamed("_n", "_a").drop("keys"), "_a").join(b.withColumnRenamed("_n", "_b").drop("keys"), "_b")
+    pairs = met.join(a.drop("keys"), "_a").join(b.drop("keys"), "_b")
     gap = F.greatest(F.lit(0), F.col("l.span.low") - F.col("r.span.high"), F.col("r.span.low") - F.col("l.span.high")) / F.lit(365.25)
     gap = F.when(F.col("l.span.low").isNotNull() & F.col("r.span.low").isNotNull(), gap)
     both = (F.size("l.genres") > 0) & (F.size("r.genres") > 0)
     shared = F.size(F.array_intersect("l.genres", "r.genres")) / F.least(F.size("l.genres"), F.size("r.genres"))
     agree = (F.col("l.number") == F.col("r.number")) & (F.col("l.kind") == F.col("r.kind")) & (F.col("l.amount") == F.col("r.amount"))
     return pairs.select(
-        "l_id",
+        "l_sig",
+        "r_sig",
         "r_id",
+        "l_many",
+        "r_many",
         gap.alias("gap"),
         _name("l.names", "r.names").alias("f_title"),
         F.exp(-gap / 2).alias("f_time"),
@@ -164,20 +178,25 @@ def _density(x: list[Column], mean: np.ndarray, covariance: np.ndarray) -> Colum
 
 
 def _exclusive(scored: DataFrame, name: str) -> DataFrame:
-    """Probabilities from log odds ``_odds``, exclusive within a left record: they and that of no match sum to one."""
-    group = Window.partitionBy("l_id")
+    """Probabilities from log odds ``_odds``, exclusive within a left record: they and that of no match sum to one.
+
+    Entries alike in all that is compared share theirs, so none of them passes one half.
+    """
+    group = Window.partitionBy("l_sig")
     top = F.greatest(F.lit(0.0), F.max("_odds").over(group))
     shifted = scored.withColumn("_top", top).withColumn("_e", F.exp(F.col("_odds") - F.col("_top")))
-    return shifted.withColumn(name, F.col("_e") / (F.exp(-F.col("_top")) + F.sum("_e").over(group))).drop("_odds", "_top", "_e")
+    return shifted.withColumn(name, F.col("_e") / (F.exp(-F.col("_top")) + F.sum(F.col("_e") * F.col("r_many")).over(group))).drop("_odds", "_top", "_e")
 
 
 def fit_posteriors(pairs: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE) -> DataFrame:
     """pairs with ``posterior``: the probability that the two records are the same thing.
 
-    A missing feature takes the mean of the pairs that have it, and so tells nothing. Each round is one aggregate over
+    Each pair counts as often as the records that it stands for. A missing feature takes the mean of the pairs that have it, and so tells nothing. Each round is one aggregate over
     all pairs; weights, means and covariances, a few numbers, are what reaches the driver.
     """
-    means = pairs.agg(*[F.avg(c).alias(c) for c in FEATURES]).head()
+    many = F.col("l_many") * F.col("r_many")
+    weighted = lambda c: F.sum(F.when(F.col(c).isNotNull(), many) * F.col(c)) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), many)), F.lit(0))
+    means = pairs.agg(*[weighted(c).alias(c) for c in FEATURES]).head()
     filled = pairs.select("*", *[F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)).alias(f"_{c}") for c in FEATURES])
     x = [F.col(f"_{c}") for c in FEATURES]
     d = len(x)
@@ -188,8 +207,8 @@ def fit_posteriors(pairs: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE)
     last = None
     for _ in range(rounds):
         current = _exclusive(filled.withColumn("_odds", log_odds), "_p")
-        sums = [F.sum("_p"), F.count("*")]
-        for weight in (F.col("_p"), F.lit(1.0) - F.col("_p")):
+        sums = [F.sum(F.col("_p") * many), F.sum(many)]
+        for weight in (F.col("_p") * many, (F.lit(1.0) - F.col("_p")) * many):
             sums += [F.sum(weight * c) for c in x] + [F.sum(weight * x[i] * x[j]) for i in range(d) for j in range(i + 1)]
         row = list(current.agg(*sums).head())
         total = max(row[1], 1)
@@ -221,9 +240,11 @@ def match_records(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     match nothing; missing dates or genres tell nothing either way; equally probable entries share the probability, so
     neither passes. Empty inputs give no rows.
     """
-    pairs = cut(candidate_pairs(left, right))
-    scored = fit_posteriors(pairs)
-    w = Window.partitionBy("l_id").orderBy(F.col("posterior").desc(), "r_id")
+    points, members = signatures(left)
+    entries, _ = signatures(right)
+    scored = fit_posteriors(cut(candidate_pairs(points, entries)))
+    w = Window.partitionBy("l_sig").orderBy(F.col("posterior").desc(), "r_id")
     best = scored.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     sound = (F.col("f_number") == 1) & F.coalesce(F.col("gap") <= YEARS, F.lit(True))
-    return best.where((F.col("posterior") > threshold) & sound).select("l_id", "r_id", F.col("posterior").alias("confidence"))
+    chosen = best.where((F.col("posterior") > threshold) & sound).select(F.col("l_sig").alias("sig"), "r_id", F.col("posterior").alias("confidence"))
+    return members.join(chosen, "sig").select(F.col("_id").alias("l_id"), "r_id", "confidence")
