@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caddis.functions import text as X
 from caddis.functions.similarity import collapsed, dice, same_entry, same_start
 from caddis.operators import catalog as C
+from caddis.operators import lookup as K
 from caddis.operators import matching as M
 from caddis.operators import merge as G
 from caddis.operators import ranking as R
@@ -290,6 +291,47 @@ def json_probe(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), F.coalesce(F.is_variant_null(F.try_variant_get("v", "$.k", "variant")), F.lit(False)).alias("is_null"))
 
 
+# ---- lookups -------------------------------------------------------------------------------------------------------
+
+
+def knowledge_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Store titles looked up among the review entries, by title or slug, games only."""
+    entities = table(spark, d, "mc_cache").select("ordinal", F.array("type").alias("types"), F.array_compact(F.array("title", "slug")).alias("names"), F.col("slug").alias("label"))
+    return K.knowledge_lookup(titles(spark, d).select(F.col("title").alias("query")), entities, ["game-title"])
+
+
+def two_language_lookup(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "psplus")
+    asked = table(spark, d, "xgp").where("title IS NOT NULL").select(F.col("title").alias("query"))
+    return K.two_language_lookup(asked, p.select(F.col("product_id").alias("id"), F.col("title").alias("name")), p.select(F.col("product_id").alias("id"), F.col("title_zh").alias("name")))
+
+
+def detail_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Details of the products on the pc list: the last delivery's, a description of at most 400 characters."""
+    x = table(spark, d, "xgp")
+    ids = x.where(F.array_contains("platforms", "pc")).select("product_id")
+    wanted = x.select("product_id", F.substring(F.coalesce(F.nullif("short_description", F.lit("")), F.col("title")), 1, 400).alias("description"), "release_date", "fetched_at", F.md5(F.to_json(F.struct("title", "release_date", "short_description"))).alias("tie"))
+    return K.details(ids, wanted, "product_id", F.struct("fetched_at", "tie")).select("product_id", F.length("description").alias("described"))
+
+
+def id_union(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct products of the three stores, with the number of stores and lists they stand on."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("store"), "product_id") for t in ("xgp", "psplus", "switch_catalog")]
+    union, _ = K.tolerant_union([(str(i), lambda p=p: p) for i, p in enumerate(parts)])
+    return union.where("product_id IS NOT NULL").groupBy("product_id").agg(F.count_distinct("store").alias("stores"), F.count("*").alias("deliveries"))
+
+
+def url_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Host and path of image addresses, and titles as they stand in a query string."""
+    x = table(spark, d, "xgp").where("image IS NOT NULL AND title IS NOT NULL").select("product_id", "image", "title").distinct()
+    return x.select("product_id", F.parse_url("image", F.lit("HOST")).alias("host"), F.parse_url("image", F.lit("PATH")).alias("path"), F.length(F.url_decode(F.url_encode("title"))).alias("round_trip"))
+
+
+def genre_component(spark: SparkSession, d: str) -> DataFrame:
+    """The first genre entry named Action of each review entry, and whether there is one."""
+    return table(spark, d, "mc_cache").select("ordinal", K.component("genres", "Action", "name").alias("action"))
+
+
 # ---- metrics -------------------------------------------------------------------------------------------------------
 
 
@@ -363,7 +405,7 @@ QUERIES = {
         normalize_titles, store_titles, title_variants, block_keys, part_pairs, html_strip, best_match, widened_match, alias_match, merge_lists, first_last_shortest,
         product_platforms, pending_slugs, cache_upsert, two_pass_lookup, cover_difference, enriched, resolve_names, tidy_names, console_flags, facet_counts, facet_split_choice,
         completeness_gate, page_list, plan_filter, edition_merge, share_pages, search_titles, collated_titles, report_lines, work_cap, top_candidates, play_hours, json_probe,
-        run_metrics, tier_metrics, list_metrics, match_metrics, name_metrics, cover_metrics, rank_all, rank_top20, rank_top8_per_cluster, played_games,
+        knowledge_lookup, two_language_lookup, detail_lookup, id_union, url_keys, genre_component, run_metrics, tier_metrics, list_metrics, match_metrics, name_metrics, cover_metrics, rank_all, rank_top20, rank_top8_per_cluster, played_games,
     )
 }
 
@@ -478,6 +520,11 @@ SELECT ch.key, i.slug, {_R6('ch.s')} AS score, ch.n AS rounds FROM ch JOIN i USI
     "top_candidates": "SELECT ordinal, slug, critic_score, genre, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY critic_score DESC NULLS LAST, ordinal) AS place FROM (SELECT ordinal, slug, critic_score, genres[1].name AS genre FROM mc_cache) WHERE genre IS NOT NULL) WHERE place <= 24",
     "play_hours": f"SELECT o_orderkey, floor(nullif(o_totalprice, 0) / 3600 * 10 + 0.5) / 10 AS hours, {_R6("coalesce(least(0.03::DOUBLE, abs(year(o_orderdate) - 1998) * 0.004::DOUBLE), 0)")} AS penalty FROM orders",
     "json_probe": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, coalesce(json_type(props, '$.k') = 'NULL', false) AS is_null FROM events",
+    "knowledge_lookup": f"WITH q AS (SELECT title AS query, {S.identity_key('title')} AS k FROM ({_TITLES})), e AS (SELECT ordinal, slug, unnest([title, slug]) AS n FROM mc_cache WHERE type = 'game-title'), f AS (SELECT {S.identity_key('n')} AS k, min(ordinal) AS ordinal, arg_min(struct_pack(l := slug), ordinal).l AS label FROM e WHERE n IS NOT NULL GROUP BY 1) SELECT query, ordinal, label FROM q JOIN f USING (k) WHERE k <> ''",
+    "two_language_lookup": f"WITH q AS (SELECT DISTINCT title AS query, {S.identity_key('title')} AS k FROM xgp WHERE title IS NOT NULL), e AS (SELECT product_id AS id, {S.identity_key('title')} AS k FROM psplus), z AS (SELECT product_id AS id, min(title_zh) AS name FROM psplus WHERE {S.has_cjk('title_zh')} GROUP BY 1) SELECT query, arg_min(name, id) AS name FROM q JOIN e USING (k) JOIN z USING (id) WHERE k <> '' GROUP BY 1",
+    "id_union": "SELECT product_id, count(DISTINCT s) AS stores, count(*) AS deliveries FROM (SELECT 1 AS s, product_id FROM xgp UNION ALL SELECT 2, product_id FROM psplus UNION ALL SELECT 3, product_id FROM switch_catalog) WHERE product_id IS NOT NULL GROUP BY 1",
+    "url_keys": "SELECT DISTINCT ON (product_id, image, title) product_id, regexp_extract(image, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(image, '^[a-z]+://[^/]+([^?]*)', 1) AS path, length(title)::INTEGER AS round_trip FROM xgp WHERE image IS NOT NULL AND title IS NOT NULL",
+    "genre_component": "SELECT ordinal, list_filter(genres, lambda g: g.name = 'Action')[1].name AS action FROM mc_cache",
     "run_metrics": f"WITH g AS ({_PAGE}), c AS (SELECT count(*) AS total, count(*) FILTER (WHERE critic > 0) AS scored, count(\"user\") AS with_user, count(*) FILTER (WHERE main > 0) AS timed, count(*) FILTER (WHERE critic >= 80) AS best, count(*) FILTER (WHERE critic >= 80 AND main > 0) AS best_timed, count(*) FILTER (WHERE {S.has_cjk('title_zh')}) AS localized FROM g) SELECT *, floor(100.0::DOUBLE * best_timed / nullif(best, 0) + 0.5)::BIGINT AS coverage FROM c",
     "tier_metrics": f"SELECT tier, count(*) AS games, count(*) FILTER (WHERE {S.has_cjk('zh')}) AS localized, count(*) FILTER (WHERE ps5) AS on_ps5 FROM (SELECT product_id, min(tier) AS tier, max(title_zh) AS zh, bool_or(ps5) AS ps5 FROM psplus GROUP BY 1) GROUP BY 1",
     "list_metrics": "SELECT list, count(DISTINCT product_id) AS entries FROM (SELECT product_id, unnest(lists) AS list FROM psplus) GROUP BY 1",

@@ -38,3 +38,22 @@ def test_row_rules(spark, rows):
     assert rows(C.completeness(df, 6)) == [(6, 6, True)] and rows(C.completeness(df, 7)) == [(6, 7, False)]
     facets = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", None)], "x string, y int")
     assert rows(C.split_facet(facets, ["x", "y"])) == [("x", "a", 2, 2)]
+
+
+def test_sinks_and_lookups(spark, rows, tmp_path):
+    from caddis.operators import lookup as K
+    from caddis.sources.sinks import rewrite, write_snapshot
+
+    df = spark.createDataFrame([(1, 80), (2, None)], "id int, score int")
+    assert rows(write_snapshot(df, str(tmp_path / "s"), "score", scored_only=True)) == [(2, 1)]
+    assert rows(spark.read.parquet(str(tmp_path / "s/rows"))) == [(1, 80)]
+    rewrite(spark, str(tmp_path / "s/rows"), lambda t: t.withColumn("x", F.lit(1)))
+    assert rows(spark.read.parquet(str(tmp_path / "s/rows"))) == [(1, 80, 1)]
+    entities = spark.createDataFrame([(2, ["game"], ["Amo Gate"], "later"), (1, ["game", "x"], ["AMO  gáte!", None], "first"), (0, ["film"], ["amo gate"], "film")], "ordinal int, types array<string>, names array<string>, label string")
+    asked = spark.createDataFrame([("Amo Gate™",), ("???",), (None,)], "query string")
+    assert rows(K.knowledge_lookup(asked, entities, ["game"])) == [("Amo Gate™", 1, "first")]
+    english = spark.createDataFrame([(1, "Amo"), (2, "Amo")], "id int, name string")
+    localized = spark.createDataFrame([(1, "Amo"), (2, "阿莫")], "id int, name string")
+    assert rows(K.two_language_lookup(spark.createDataFrame([("amo",)], "query string"), english, localized)) == [("amo", "阿莫")]
+    union, failed = K.tolerant_union([("a", lambda: df), ("b", lambda: spark.read.parquet(str(tmp_path / "none")))])
+    assert union.count() == 2 and failed == ["b"]
