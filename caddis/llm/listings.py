@@ -24,17 +24,18 @@ TRAINING_NAMES, STEPS, BATCH, TEMPERATURE, SEED = 4_000, 150, 256, 0.07, 11
 #: Greatest number of lists, names that fit their centres, rows of an index block and of a query block.
 LISTS, CENTRE_NAMES, INDEX_BLOCK, QUERY_BLOCK = 2_048, 20_000, 2_000, 4_000
 #: Neighbours of a name, beside which all names nearer than NEAR are kept; names that tune the probes, and the recall wanted.
-NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 12, 0.8, 200, 0.95
-#: Slips between two spellings of a name: one, or two from this length on.
-TWO_SLIPS = 12
+NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 16, 0.85, 200, 0.95
+#: Slips between two spellings of a name: one; or two from the first length on, if other facts of the listings agree;
+#: or two from the second length on.
+SUPPORTED_SLIPS, TWO_SLIPS = 8, 16
 
 
 def subwords(name: str) -> list[int]:
-    """Buckets of a name's letter trigrams and tetragrams, segment by segment."""
+    """Buckets of a name's letter pairs, pairs with one letter left out between, and trigrams, segment by segment."""
     grams = []
     for segment in name.split(" "):
         s = f"^{segment}$"
-        grams += [s[i : i + n] for n in (3, 4) for i in range(max(1, len(s) - n + 1))]
+        grams += [s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)] + [f"{a}_{b}" for a, b in zip(s, s[2:])]
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
@@ -149,19 +150,29 @@ def within_slips(a: str, b: str, slips: int) -> bool:
     return last[len(b)] <= slips
 
 
-def same_name(a: str, b: str) -> bool:
-    """The exact check: equal up to slips in some order of the segments, with or without blanks."""
+def name_slips(a: str, b: str) -> int:
+    """The exact check: 0 to 2 slips between two names in some order of their segments, blanks aside; 3 if more.
+
+    Two slips count only from a length of SUPPORTED_SLIPS letters on.
+    """
     x, y = a.split(" "), b.split(" ")
     rights = {"".join(y[i:] + y[:i]) for i in range(len(y))}
-    for left in {"".join(x[i:] + x[:i]) for i in range(len(x))}:
-        slips = 2 if len(left) >= TWO_SLIPS else 1
-        if any(within_slips(left, r, slips) for r in rights):
-            return True
-    return False
+    lefts = {"".join(x[i:] + x[:i]) for i in range(len(x))}
+    for slips in (0, 1, 2):
+        for left in lefts:
+            if (slips < 2 or len(left) >= SUPPORTED_SLIPS) and any(within_slips(left, r, slips) for r in rights):
+                return slips
+    return 3
+
+
+def same_name(a: str, b: str) -> bool:
+    """Whether two names are spellings of one by themselves, whatever else is known."""
+    slips = name_slips(a, b)
+    return slips < 2 or (slips == 2 and len(a.replace(" ", "")) >= TWO_SLIPS)
 
 
-def named(df: DataFrame, key: str, title: str) -> DataFrame:
-    """(id, name, numeric) of each listing: its name's segments in order, and number, kind and amount."""
+def named(df: DataFrame, key: str, title: str, facts: list[str]) -> DataFrame:
+    """(id, name, numeric, facts) of each listing: its name's segments in order; number, kind and amount; other facts."""
 
     @F.pandas_udf("struct<name:string,numeric:string>")
     def parts(titles):
@@ -170,8 +181,9 @@ def named(df: DataFrame, key: str, title: str) -> DataFrame:
         read = [parse_title(t) for t in titles]
         return pd.DataFrame({"name": [p.core for p in read], "numeric": [p.numeric for p in read]})
 
-    rows = df.select(F.col(key).cast("string").alias("id"), F.col(title).alias("_t")).where("id IS NOT NULL AND trim(_t) <> ''")
-    return rows.withColumn("_p", parts("_t")).select("id", "_p.name", "_p.numeric")
+    known = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.nullif(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(facts)]).cast("array<string>"), lambda f: f.isNotNull())
+    rows = df.select(F.col(key).cast("string").alias("id"), F.col(title).alias("_t"), known.alias("facts")).where("id IS NOT NULL AND trim(_t) <> ''")
+    return rows.withColumn("_p", parts("_t")).select("id", "_p.name", "_p.numeric", "facts")
 
 
 def _vectors(names: DataFrame, table: np.ndarray, c: np.ndarray) -> DataFrame:
@@ -326,31 +338,35 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def group_listings(df: DataFrame, key: str = "product_id", title: str = "title") -> DataFrame:
+def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = ()) -> DataFrame:
     """(id, name, numeric, group): listings with the group of their item.
 
     Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
     of one key give it two rows. Equal names are one point of the index, so copies cost nothing; names of different
-    spelling join through mutual neighbours that pass the exact check, within equal number, kind and amount. The group's
-    id is the least hash of its members' names. An empty table gives no rows.
+    spelling join through mutual neighbours that pass the exact check, within equal number, kind and amount. Names of
+    middling length that are two slips apart need a listing each that agree in one of the ``facts`` columns (null and
+    empty ones agree with nothing). The group's id is the least hash of its members' names. An empty table gives no rows.
     """
-    rows = cut(named(df, key, title).distinct().withColumn("n", F.xxhash64("name")).withColumn("item", F.xxhash64("name", "numeric")))
+    rows = cut(named(df, key, title, list(facts)).distinct().withColumn("n", F.xxhash64("name")).withColumn("item", F.xxhash64("name", "numeric")))
     names = rows.select("n", "name").dropDuplicates(["n"])
     vectors, c, probes, _ = build_index(names)
     mutual = mutual_pairs(cut(search(vectors, vectors, c, probes)))
 
-    @F.pandas_udf("boolean")
-    def alike(x, y):
+    @F.pandas_udf("int")
+    def apart(x, y):
         import pandas as pd
 
-        return pd.Series([same_name(a, b) for a, b in zip(x, y)], dtype=bool)
+        return pd.Series([name_slips(a, b) for a, b in zip(x, y)], dtype="int32")
 
     spelled = vectors.select("n", "name")
-    checked = mutual.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").where(alike("x", "y")).select("a", "b")
+    checked = mutual.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").select("a", "b", apart("x", "y").alias("slips"), F.length(F.replace("x", F.lit(" "), F.lit(""))).alias("long"))
     items = rows.select("n", "numeric", "item").distinct()
     left, right = items.toDF("a", "numeric", "ia"), items.toDF("b", "numeric", "ib")
-    edges = checked.join(left, "a").join(right, ["b", "numeric"]).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    labels = components(edges)
+    edges = cut(checked.where("slips <= 2").join(left, "a").join(right, ["b", "numeric"]).select("ia", "ib", "slips", "long"))
+    sure = (F.col("slips") < 2) | (F.col("long") >= TWO_SLIPS)
+    known = rows.select("item", F.explode("facts").alias("fact")).distinct()
+    supported = edges.where(~sure).join(known.toDF("ia", "fact"), "ia").join(known.toDF("ib", "fact"), ["ib", "fact"]).select("ia", "ib")
+    labels = components(edges.where(sure).select("ia", "ib").unionByName(supported).distinct().toDF("a", "b"))
     return rows.join(labels.withColumnRenamed("node", "item"), "item", "left").select("id", "name", "numeric", F.coalesce("label", "item").alias("group"))
 
 

@@ -79,17 +79,23 @@ def _latest(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
-    """One row per product of the three catalogues, with its latest non-empty title."""
-    parts = [table(spark, d, t).select("product_id", "title", "fetched_at") for t in ("xgp", "psplus", "switch_catalog")]
-    return _latest(parts[0].unionByName(parts[1]).unionByName(parts[2]), "title")
+    """One row per product of the three catalogues: its latest non-empty title, localized title and full release date."""
+    parts = [table(spark, d, t).select("product_id", "title", "title_zh", "release_date", "fetched_at") for t in ("xgp", "psplus", "switch_catalog")]
+    rows = _latest(parts[0].unionByName(parts[1]).unionByName(parts[2]), "title", "title_zh", "release_date")
+    day = F.substring("release_date", 1, 10)
+    return rows.withColumn("release_date", F.when(day.rlike(r"^\d{4}-\d\d-\d\d$"), day))
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    return group_listings(listings(spark, d), facts=("release_date", "title_zh"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return group_listings(listings(spark, d)).select(F.col("id").alias("product_id"), F.col("group").alias("group_id"))
+    return _grouped(spark, d).select(F.col("id").alias("product_id"), F.col("group").alias("group_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return same_item_pairs(group_listings(listings(spark, d))).select(F.col("id_a").alias("product_id_a"), F.col("id_b").alias("product_id_b"))
+    return same_item_pairs(_grouped(spark, d)).select(F.col("id_a").alias("product_id_a"), F.col("id_b").alias("product_id_b"))
 
 
 def review_entries(spark: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,7 @@ _TRACK = re.compile(r"(?<![a-z])(?:(?:the )?original soundtrack|soundtrack|o\.?s
 _MEMBER = re.compile(r"(?<![a-z])(?:season )?(?:membership|pass)(?![a-z])")
 _SPAN = re.compile(r"(?<![a-z0-9.])(\d+|one|two|three|four|five|six)[ -]*(months?|mos?|years?|yrs?)(?![a-z])\.?")
 _AMOUNT = re.compile(r"(?<![a-z0-9.,])(?:pack of )?(\d[\d,.]*?)( ?k)?(?: ?x)? (credits?|coins?|gems?|shards?|tokens?|points?|crystals?)(?![a-z])(?: (?:bundle|pack))?")
-_SERIES = re.compile(r"(?<![a-z0-9])(?:(?:part|vol\.?|volume|chapter|episode|no\.?|#) ?)?#?(\d{1,2}|" + "|".join(sorted([*NUMBER_WORDS, *ROMAN], key=len, reverse=True)) + r")(?![a-z0-9'])")
+_SERIES = re.compile(r"(?<![a-z0-9])(?:(?:part|vol\.?|volume|chapter|episode|no\.?|#) |(?:vol\.?|part|#)(?=\d))?#?(\d{1,2}|" + "|".join(sorted([*NUMBER_WORDS, *ROMAN], key=len, reverse=True)) + r")(?![a-z0-9'])")
 _CUT = re.compile(r"[:|()\[\]{}–—;~★☆]+|(?<=\s)-+(?=\s)|\s-+\s|^-+\s|\s-+$|[!?]+(?=\s|$)|\+")
 _ARTICLE = re.compile(r"^(?:the|for|te|th|he|teh|hte|tthe|thhe|thee)(?=\s+\S)")  # with a slip, too
 _GLUED = re.compile(r"^the(?=[a-z]{4,12}of[a-z]{4})")
