@@ -71,7 +71,7 @@ def part_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_strip(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(X.strip_tags(F.col("text"))).alias("kept"), F.md5(X.strip_tags(F.col("text"))).alias("digest"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(X.strip_tags(F.col("text"))).cast("bigint").alias("kept"), F.md5(X.strip_tags(F.col("text"))).alias("digest"))
 
 
 # ---- matching ------------------------------------------------------------------------------------------------------
