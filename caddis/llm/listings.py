@@ -25,9 +25,9 @@ TRAINING_NAMES, STEPS, BATCH, TEMPERATURE, SEED = 4_000, 150, 256, 0.07, 11
 LISTS, CENTRE_NAMES, INDEX_BLOCK, QUERY_BLOCK = 2_048, 20_000, 2_000, 4_000
 #: Neighbours of a name, beside which all names nearer than NEAR are kept; names that tune the probes, and the recall wanted.
 NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 16, 0.85, 200, 0.95
-#: Slips between two spellings of a name: one; or two from the first length on, if other facts of the listings agree;
-#: or two from the second length on.
-SUPPORTED_SLIPS, TWO_SLIPS = 8, 16
+#: Slips between two spellings of a name: one; or two from the first length of the longer one on, if other facts of the
+#: listings agree; from the second on, if no letter is replaced by another; from the third on, in any case.
+SUPPORTED_SLIPS, KEPT_LETTERS, TWO_SLIPS = 6, 8, 16
 
 
 def subwords(name: str) -> list[int]:
@@ -129,8 +129,11 @@ def centres(vectors: np.ndarray, lists: int, seed: int = SEED, rounds: int = 8)
     return c
 
 
-def within_slips(a: str, b: str, slips: int) -> bool:
-    """Whether a becomes b by at most so many letters put in, left out, replaced or swapped with their neighbour."""
+def within_slips(a: str, b: str, slips: int, replaced: int = 1) -> bool:
+    """Whether a becomes b by at most so many letters put in, left out, replaced or swapped with their neighbour.
+
+    A replaced letter counts as ``replaced`` slips.
+    """
     if a == b:
         return True
     if abs(len(a) - len(b)) > slips:
@@ -140,7 +143,7 @@ def within_slips(a: str, b: str, slips: int) -> bool:
         now = [i] + [slips + 1] * len(b)
         for j in range(max(1, i - slips), min(len(b), i + slips) + 1):
             y = b[j - 1]
-            v = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
+            v = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (replaced if x != y else 0))
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, before[j - 2] + 1)
             now[j] = v
@@ -150,25 +153,31 @@ def within_slips(a: str, b: str, slips: int) -> bool:
     return last[len(b)] <= slips
 
 
-def name_slips(a: str, b: str) -> int:
-    """The exact check: 0 to 2 slips between two names in some order of their segments, blanks aside; 3 if more.
+#: What the spelling of two names says: other names; one name if other facts agree; one name.
+OTHER, PERHAPS, SAME = 0, 1, 2
+
+
+def judged(a: str, b: str) -> int:
+    """The exact check of two names in some order of their segments, blanks aside: OTHER, PERHAPS or SAME.
 
-    Two slips count only from a length of SUPPORTED_SLIPS letters on.
+    Two sellers' slips leave letters out, double or swap them; two names that differ in replaced letters (Larogofa,
+    Lorogofo) are often two series, so unless they are long, other facts must agree.
     """
     x, y = a.split(" "), b.split(" ")
     rights = {"".join(y[i:] + y[:i]) for i in range(len(y))}
     lefts = {"".join(x[i:] + x[:i]) for i in range(len(x))}
-    for slips in (0, 1, 2):
-        for left in lefts:
-            if (slips < 2 or len(left) >= SUPPORTED_SLIPS) and any(within_slips(left, r, slips) for r in rights):
-                return slips
-    return 3
+    meet = lambda slips, replaced=1: any(within_slips(p, q, slips, replaced) for p in lefts for q in rights)
+    if meet(1):
+        return SAME
+    longer = max(len("".join(x)), len("".join(y)))
+    if longer < SUPPORTED_SLIPS or not meet(2):
+        return OTHER
+    return SAME if longer >= TWO_SLIPS or (longer >= KEPT_LETTERS and meet(2, 3)) else PERHAPS
 
 
 def same_name(a: str, b: str) -> bool:
     """Whether two names are spellings of one by themselves, whatever else is known."""
-    slips = name_slips(a, b)
-    return slips < 2 or (slips == 2 and len(a.replace(" ", "")) >= TWO_SLIPS)
+    return judged(a, b) == SAME
 
 
 def named(df: DataFrame, key: str, title: str, facts: list[str]) -> DataFrame:
@@ -343,9 +352,9 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
 
     Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
     of one key give it two rows. Equal names are one point of the index, so copies cost nothing; names of different
-    spelling join through mutual neighbours that pass the exact check, within equal number, kind and amount. Names of
-    middling length that are two slips apart need a listing each that agree in one of the ``facts`` columns (null and
-    empty ones agree with nothing). The group's id is the least hash of its members' names. An empty table gives no rows.
+    spelling join through mutual neighbours that pass the exact check, within equal number, kind and amount. Names that
+    are two slips apart and short, or not long and with a letter replaced, need a listing each that agree in one of the
+    ``facts`` columns (null and empty ones agree with nothing). The group's id is the least hash of its members' names. An empty table gives no rows.
     """
     rows = cut(named(df, key, title, list(facts)).distinct().withColumn("n", F.xxhash64("name")).withColumn("item", F.xxhash64("name", "numeric")))
     names = rows.select("n", "name").dropDuplicates(["n"])
@@ -353,17 +362,17 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
     mutual = mutual_pairs(cut(search(vectors, vectors, c, probes)))
 
     @F.pandas_udf("int")
-    def apart(x, y):
+    def judge(x, y):
         import pandas as pd
 
-        return pd.Series([name_slips(a, b) for a, b in zip(x, y)], dtype="int32")
+        return pd.Series([judged(a, b) for a, b in zip(x, y)], dtype="int32")
 
     spelled = vectors.select("n", "name")
-    checked = mutual.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").select("a", "b", apart("x", "y").alias("slips"), F.length(F.replace("x", F.lit(" "), F.lit(""))).alias("long"))
+    checked = mutual.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").select("a", "b", judge("x", "y").alias("same"))
     items = rows.select("n", "numeric", "item").distinct()
     left, right = items.toDF("a", "numeric", "ia"), items.toDF("b", "numeric", "ib")
-    edges = cut(checked.where("slips <= 2").join(left, "a").join(right, ["b", "numeric"]).select("ia", "ib", "slips", "long"))
-    sure = (F.col("slips") < 2) | (F.col("long") >= TWO_SLIPS)
+    edges = cut(checked.where(F.col("same") > OTHER).join(left, "a").join(right, ["b", "numeric"]).select("ia", "ib", "same"))
+    sure = F.col("same") == SAME
     known = rows.select("item", F.explode("facts").alias("fact")).distinct()
     supported = edges.where(~sure).join(known.toDF("ia", "fact"), "ia").join(known.toDF("ib", "fact"), ["ib", "fact"]).select("ia", "ib")
     labels = components(edges.where(sure).select("ia", "ib").unionByName(supported).distinct().toDF("a", "b"))

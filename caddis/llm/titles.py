@@ -57,6 +57,7 @@ _SERIES = re.compile(r"(?<![a-z0-9])(?:(?:part|vol\.?|volume|chapter|episode|no\
 _CUT = re.compile(r"[:|()\[\]{}–—;~★☆]+|(?<=\s)-+(?=\s)|\s-+\s|^-+\s|\s-+$|[!?]+(?=\s|$)|\+")
 _ARTICLE = re.compile(r"^(?:the|for|te|th|he|teh|hte|tthe|thhe|thee)(?=\s+\S)")  # with a slip, too
 _GLUED = re.compile(r"^the(?=[a-z]{4,12}of[a-z]{4})")
+_LOCAL_EDITION = re.compile(r"\s*[(（][^()（）]*版[)）]|\s+[^\s《》]*(?: one)?\s*版(?=\W*$)")
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "`": "'", "´": "'"})
 # Words that noise leaves behind when a slip hides it, used to tell such remains.
 _EDITION_WORDS = ("edition", "deluxe", "standard", "ultimate", "complete", "definitive", "anniversary", "digital", "version", "membership", "soundtrack", "original", "nintendo", "playstation", "windows", "switch", "preview", "season", "bonus", "content", "presents", "limited", "credits", "shards")
@@ -159,3 +160,10 @@ def parse_title(text: str) -> Title:
     names = [_GLUED.sub("", re.sub(r"[\W_]+", "", _ARTICLE.sub("", p.strip()))) for p in parts]
     segments = tuple(n for n in names if n) or (re.sub(r"[\W_]+", "", whole),)
     return Title(segments, " ".join(re.findall(r"[^\W_]+", " ".join(parts))), number, kind, amount)
+
+
+@lru_cache(maxsize=100_000)
+def localized_name(text: str | None) -> str | None:
+    """A localized title's name and number in one consistent form, without quotes, platform and edition (… 版)."""
+    read = parse_title(_LOCAL_EDITION.sub("", fold(text))) if text and text.strip() else None
+    return f"{read.core}|{read.numeric}" if read and read.core else None

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caddis.llm import listings as L
-from caddis.llm.titles import parse_title
+from caddis.llm.titles import localized_name, parse_title
 
 SCHEMA = "product_id string, title string, n int, name string"
 
@@ -92,3 +92,20 @@ def test_empty_and_components(spark, rows):
     assert L.group_listings(spark.createDataFrame([], SCHEMA)).count() == 0
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5)], "a bigint, b bigint")
     assert rows(L.components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (8, 8), (9, 8)]
+
+
+@pytest.mark.parametrize("a,b,verdict", [("nildengardrru", "niledngardru", L.SAME), ("thekevnusu", "thekenvussu", L.SAME), ("pranene", "purranene", L.SAME), ("larogofa", "lorogofo", L.PERHAPS), ("mrenelu", "mureneu", L.PERHAPS), ("amoge", "amgoe", L.SAME), ("amo", "oam", L.OTHER)])
+def test_two_slips_of_middling_names(a, b, verdict):
+    assert L.judged(a, b) == verdict == L.judged(b, a)
+
+
+def test_two_slips_without_shared_facts(spark):
+    data = [("a", "Nilden Gardrru", None, None), ("b", "Niledn Gardru", "2015-03-04", None), ("c", "Larogofa", None, "x"), ("d", "Lorogofo", None, "y"), ("e", "Darkezomilofane", None, "z"), ("f", "Dirkezomilufane", None, "z")]
+    groups = L.group_listings(spark.createDataFrame(data, "product_id string, title string, day string, zh string"), facts=("day", "zh"))
+    by = {r["id"]: r["group"] for r in groups.collect()}
+    assert by["a"] == by["b"] and by["c"] != by["d"] and by["e"] == by["f"]
+
+
+def test_localized_names():
+    assert localized_name("《黑曜王印》2 Xbox One 版") == localized_name("黑曜王印 II") == localized_name("黑曜王印2（Windows 版）") != localized_name("黑曜王印")
+    assert localized_name(None) is None and localized_name(" ") is None
