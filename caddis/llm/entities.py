@@ -32,11 +32,11 @@ def spellings(title: Title) -> list[str]:
     return list(dict.fromkeys("".join(s[i:] + s[:i]) for i in range(len(s))))
 
 
-def slip_keys(name: str) -> list[int]:
-    """Hashes of the name and of the name without any one of its letters: names one slip apart share a key."""
+def slip_keys(name: str, least: int = SLIP_LENGTH) -> list[int]:
+    """Hashes of the name and, from ``least`` letters on, without any one of them: names one slip apart share a key."""
     import xxhash
 
-    parts = {name} | ({name[:i] + name[i + 1 :] for i in range(len(name))} if len(name) >= SLIP_LENGTH else set())
+    parts = {name} | ({name[:i] + name[i + 1 :] for i in range(len(name))} if len(name) >= least else set())
     return [xxhash.xxh64_intdigest(p) - (1 << 63) for p in sorted(parts)]
 
 

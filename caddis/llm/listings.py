@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caddis.llm.entities import slip_keys
 from caddis.llm.titles import parse_title
 from caddis.session import cut
 
@@ -25,6 +26,8 @@ TRAINING_NAMES, STEPS, BATCH, TEMPERATURE, SEED = 4_000, 150, 256, 0.07, 11
 LISTS, CENTRE_NAMES, INDEX_BLOCK, QUERY_BLOCK = 2_048, 20_000, 2_000, 4_000
 #: Neighbours of a name, beside which all names nearer than NEAR are kept; names that tune the probes, and the recall wanted.
 NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 16, 0.85, 200, 0.95
+#: Greatest length of a name, blanks included, that meets others on its one-letter deletions, too.
+KEY_LETTERS = 255
 #: Slips between two spellings of a name: one; or two from the first length of the longer one on, if other facts of the
 #: listings agree; from the second on, if no letter is replaced by another; from the third on, in any case.
 SUPPORTED_SLIPS, KEPT_LETTERS, TWO_SLIPS = 6, 8, 16
@@ -270,16 +273,39 @@ def search(queries: DataFrame, index: DataFrame, c: np.ndarray, probes: int, k:
     return found.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) | (F.col("cosine") >= near)).select("q", "n", "cosine", "rank")
 
 
-def mutual_pairs(found: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(a, b), a < b: names each of which is as near to the other as the other's k-th neighbour or nearer.
+def mutual_pairs(found: DataFrame, k: int = NEIGHBOURS, near: float = NEAR) -> DataFrame:
+    """(a, b), a < b: names each of which is as near to the other as the other's k-th neighbour, or nearer than ``near``.
 
     A pair met from one side only, because the other side's probes missed it, is judged by its cosine just the same.
     """
     reach = found.where(F.col("rank") <= k).groupBy(F.col("q").alias("n")).agg(F.min("cosine").alias("_c"), F.count("*").alias("_m"))
-    kept = found.join(reach, "n", "left").where(F.col("_c").isNull() | (F.col("_m") < k) | (F.col("cosine") >= F.col("_c") - 1e-6))
+    kept = found.join(reach, "n", "left").where(F.col("_c").isNull() | (F.col("_m") < k) | (F.col("cosine") >= F.least(F.col("_c") - 1e-6, F.lit(near))))
     return kept.select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).distinct()
 
 
+def one_slip_pairs(names: DataFrame) -> DataFrame:
+    """(a, b), a < b: all names of (n, name) that may be one slip apart in some order of their segments.
+
+    They meet on hashes of their one-letter deletions, whatever crowd of other names is nearer. A key is shared by at
+    most the names that one more letter makes of it, so no key's names grow with the table. Names of over KEY_LETTERS
+    letters are left to the neighbours.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def keys(texts):
+        import pandas as pd
+
+        def of(name):
+            s = name.split(" ")
+            return sorted({k for i in range(len(s)) for k in slip_keys("".join(s[i:] + s[:i]), 0)})
+
+        return pd.Series([of(t) for t in texts])
+
+    keyed = cut(names.where(F.length("name") <= KEY_LETTERS).select("n", F.explode(keys("name")).alias("key")))
+    met = keyed.withColumnRenamed("n", "a").join(keyed.withColumnRenamed("n", "b"), "key").where("a < b")
+    return met.select("a", "b").distinct()
+
+
 def exact_neighbours(queries: list[tuple[int, bytes]], index: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(q, n): the k nearest of all names for a bounded number of queries, by brute force."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
@@ -352,14 +378,14 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
 
     Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
     of one key give it two rows. Equal names are one point of the index, so copies cost nothing; names of different
-    spelling join through mutual neighbours that pass the exact check, within equal number, kind and amount. Names that
+    spelling join through mutual neighbours and one-letter deletions that pass the exact check, within equal number, kind and amount. Names that
     are two slips apart and short, or not long and with a letter replaced, need a listing each that agree in one of the
     ``facts`` columns (null and empty ones agree with nothing). The group's id is the least hash of its members' names. An empty table gives no rows.
     """
     rows = cut(named(df, key, title, list(facts)).distinct().withColumn("n", F.xxhash64("name")).withColumn("item", F.xxhash64("name", "numeric")))
     names = rows.select("n", "name").dropDuplicates(["n"])
     vectors, c, probes, _ = build_index(names)
-    mutual = mutual_pairs(cut(search(vectors, vectors, c, probes)))
+    mutual = mutual_pairs(cut(search(vectors, vectors, c, probes))).unionByName(one_slip_pairs(names)).distinct()
 
     @F.pandas_udf("int")
     def judge(x, y):

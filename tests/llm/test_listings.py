@@ -109,3 +109,15 @@ def test_two_slips_without_shared_facts(spark):
 def test_localized_names():
     assert localized_name("《黑曜王印》2 Xbox One 版") == localized_name("黑曜王印 II") == localized_name("黑曜王印2（Windows 版）") != localized_name("黑曜王印")
     assert localized_name(None) is None and localized_name(" ") is None
+
+
+def test_hot_name_with_hundreds_of_spellings(spark):
+    name = "mirevora"
+    spellings = {name[:i] + c + name[i + j :] for i in range(9) for j in (0, 1) for c in "bcdfghklmnprstvz"} - {name}
+    crowd = {f"mir{a}{b}evora{c}{a}" for a in "bdgklmnprst" for b in "aeiou" for c in "bdgklm"}
+    data = [("right", name)] + [(s, s) for s in sorted(spellings)] + [(c, c) for c in sorted(crowd)]
+    groups = L.group_listings(spark.createDataFrame(data, "product_id string, title string"))
+    by = {r["id"]: r["group"] for r in groups.collect()}
+    assert len(spellings) > 200 and {by[s] for s in spellings} == {by["right"]}
+    found = spark.createDataFrame([(1, 2, 0.9, 1), (2, 3, 0.95, 1)], "q bigint, n bigint, cosine float, rank int")
+    assert {tuple(r) for r in L.mutual_pairs(found, k=1).collect()} == {(1, 2), (2, 3)}
