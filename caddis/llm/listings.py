@@ -3,7 +3,8 @@
 Titles are reduced to their names; each distinct name is a vector of a subword encoder, trained contrastively on names
 and spoilt copies of them. An inverted file of the vectors finds each name's neighbours; how many lists are probed is
 tuned until the neighbours agree with exact ones. Pairs that are neighbours of each other and pass an exact check of
-their spelling join their listings, unless number, amount or kind of item differ (the numeric-variant veto).
+their spelling join their names; listings of joined names are one item unless number, amount or kind of item differ (the
+numeric-variant veto).
 """
 
 from __future__ import annotations
@@ -378,11 +379,13 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
 
     Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
     of one key give it two rows. Equal names are one point of the index, so copies cost nothing; names of different
-    spelling join through mutual neighbours and one-letter deletions that pass the exact check, within equal number, kind and amount. Names that
-    are two slips apart and short, or not long and with a letter replaced, need a listing each that agree in one of the
-    ``facts`` columns (null and empty ones agree with nothing). The group's id is the least hash of its members' names. An empty table gives no rows.
+    spelling join through mutual neighbours and one-letter deletions that pass the exact check, and listings of joined
+    names are one group if number, kind and amount agree too: a spelling that stands with another number still joins the
+    others. Names that are two slips apart and short, or not long and with a letter replaced, need a listing each that
+    agree in one of the ``facts`` columns (null and empty ones agree with nothing). The group's id is a hash of the least
+    hash of the joined names and of number, kind and amount. An empty table gives no rows.
     """
-    rows = cut(named(df, key, title, list(facts)).distinct().withColumn("n", F.xxhash64("name")).withColumn("item", F.xxhash64("name", "numeric")))
+    rows = cut(named(df, key, title, list(facts)).distinct().withColumn("n", F.xxhash64("name")))
     names = rows.select("n", "name").dropDuplicates(["n"])
     vectors, c, probes, _ = build_index(names)
     mutual = mutual_pairs(cut(search(vectors, vectors, c, probes))).unionByName(one_slip_pairs(names)).distinct()
@@ -395,14 +398,13 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
 
     spelled = vectors.select("n", "name")
     checked = mutual.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").select("a", "b", judge("x", "y").alias("same"))
-    items = rows.select("n", "numeric", "item").distinct()
-    left, right = items.toDF("a", "numeric", "ia"), items.toDF("b", "numeric", "ib")
-    edges = cut(checked.where(F.col("same") > OTHER).join(left, "a").join(right, ["b", "numeric"]).select("ia", "ib", "same"))
+    checked = cut(checked.where(F.col("same") > OTHER))
     sure = F.col("same") == SAME
-    known = rows.select("item", F.explode("facts").alias("fact")).distinct()
-    supported = edges.where(~sure).join(known.toDF("ia", "fact"), "ia").join(known.toDF("ib", "fact"), ["ib", "fact"]).select("ia", "ib")
-    labels = components(edges.where(sure).select("ia", "ib").unionByName(supported).distinct().toDF("a", "b"))
-    return rows.join(labels.withColumnRenamed("node", "item"), "item", "left").select("id", "name", "numeric", F.coalesce("label", "item").alias("group"))
+    known = rows.select("n", F.explode("facts").alias("fact")).distinct()
+    supported = checked.where(~sure).join(known.toDF("a", "fact"), "a").join(known.toDF("b", "fact"), ["b", "fact"]).select("a", "b")
+    spellings = components(checked.where(sure).select("a", "b").unionByName(supported).distinct())
+    placed = rows.join(spellings.withColumnRenamed("node", "n"), "n", "left").withColumn("_g", F.coalesce("label", "n"))
+    return placed.select("id", "name", "numeric", F.xxhash64("_g", "numeric").alias("group"))
 
 
 def same_item_pairs(groups: DataFrame) -> DataFrame:

@@ -121,3 +121,10 @@ def test_hot_name_with_hundreds_of_spellings(spark):
     assert len(spellings) > 200 and {by[s] for s in spellings} == {by["right"]}
     found = spark.createDataFrame([(1, 2, 0.9, 1), (2, 3, 0.95, 1)], "q bigint, n bigint, cosine float, rank int")
     assert {tuple(r) for r in L.mutual_pairs(found, k=1).collect()} == {(1, 2), (2, 3)}
+
+
+def test_a_spelling_with_another_number_bridges(spark):
+    data = [("a", "Amovelo"), ("b", "Amovleoo"), ("c", "Aomveloo 2"), ("d", "Amoveloo 3"), ("e", "Amoveloo 2"), ("x", "Dorzikape"), ("y", "Drozikape"), ("z", "Dorzikap"), ("u", "Mrenelu"), ("v", "Mureneu"), ("w", "Murenelu 2")]
+    by = {r["id"]: r["group"] for r in L.group_listings(spark.createDataFrame(data, "product_id string, title string")).collect()}
+    assert by["a"] == by["b"] and by["u"] == by["v"]  # each two slips apart; the right spelling stands with a number only
+    assert by["c"] == by["e"] and len({by[i] for i in "acdxuw"}) == 6 and by["x"] == by["y"] == by["z"]
