@@ -2,9 +2,9 @@
 
 Titles are reduced to their names; each distinct name is a vector of a subword encoder, trained contrastively on names
 and spoilt copies of them. An inverted file of the vectors finds each name's neighbours; how many lists are probed is
-tuned until the neighbours agree with exact ones. Pairs that are neighbours of each other and pass an exact check of
-their spelling join their names; listings of joined names are one item unless number, amount or kind of item differ (the
-numeric-variant veto).
+tuned until the neighbours agree with exact ones. Pairs that are neighbours of each other join their names if their
+cosine is high enough for the way in which they differ, and a spelling check can only refuse them; listings of joined
+names are one item unless number, amount, kind or subtitle differ (the numeric-variant veto).
 """
 
 from __future__ import annotations
@@ -23,15 +23,17 @@ from caddis.session import cut
 #: Subword buckets and dimensions of the encoder; names that train it, steps and batch of training.
 BUCKETS, DIMENSIONS = 16_384, 32
 TRAINING_NAMES, STEPS, BATCH, TEMPERATURE, SEED = 4_000, 150, 256, 0.07, 11
-#: Greatest number of lists, names that fit their centres, rows of an index block and of a query block.
-LISTS, CENTRE_NAMES, INDEX_BLOCK, QUERY_BLOCK = 2_048, 20_000, 2_000, 4_000
+#: Greatest number of lists, names that fit their centres, names of one group of lists and of a query block.
+LISTS, CENTRE_NAMES, GROUP_NAMES, QUERY_BLOCK = 2_048, 20_000, 40_000, 4_000
 #: Neighbours of a name, beside which all names nearer than NEAR are kept; names that tune the probes, and the recall wanted.
 NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 16, 0.85, 200, 0.95
 #: Greatest length of a name, blanks included, that meets others on its one-letter deletions, too.
 KEY_LETTERS = 255
-#: Slips between two spellings of a name: one; or two from the first length of the longer one on, if other facts of the
-#: listings agree; from the second on, if no letter is replaced by another; from the third on, in any case.
-SUPPORTED_SLIPS, KEPT_LETTERS, TWO_SLIPS = 6, 8, 16
+#: Least cosine of two spellings of a name: if other facts of the listings agree (FLOOR); if letters are only left out,
+#: doubled or swapped (SAME_LETTERS); if one is replaced by another (OTHER_LETTER); if that is one of two slips
+#: (OTHER_LETTERS). The shorter a name, the more of its
+#: subwords a slip changes, so a short name needs its facts where a long one speaks for itself.
+FLOOR, SAME_LETTERS, OTHER_LETTER, OTHER_LETTERS = 0.3, 0.45, 0.75, 0.8
 
 
 def subwords(name: str) -> list[int]:
@@ -157,50 +159,54 @@ def within_slips(a: str, b: str, slips: int, replaced: int = 1) -> bool:
     return last[len(b)] <= slips
 
 
-#: What the spelling of two names says: other names; one name if other facts agree; one name.
+#: What is known of two names: other names; one name if other facts agree; one name.
 OTHER, PERHAPS, SAME = 0, 1, 2
 
 
-def judged(a: str, b: str) -> int:
-    """The exact check of two names in some order of their segments, blanks aside: OTHER, PERHAPS or SAME.
+def judged(a: str, b: str, cosine: float) -> int:
+    """OTHER, PERHAPS or SAME for two names of a given cosine.
 
-    Two sellers' slips leave letters out, double or swap them; two names that differ in replaced letters (Larogofa,
-    Lorogofo) are often two series, so unless they are long, other facts must agree.
+    The spelling refuses names more than two slips apart in every order of their segments, blanks aside. Among the rest
+    the cosine decides: sellers' slips leave letters out, double or swap them, while names that differ in replaced
+    letters (Larogofa, Lorogofo; Fez, Rez) are often two series, so these must be nearer.
     """
     x, y = a.split(" "), b.split(" ")
     rights = {"".join(y[i:] + y[:i]) for i in range(len(y))}
     lefts = {"".join(x[i:] + x[:i]) for i in range(len(x))}
     meet = lambda slips, replaced=1: any(within_slips(p, q, slips, replaced) for p in lefts for q in rights)
-    if meet(1):
+    if lefts & rights:
         return SAME
-    longer = max(len("".join(x)), len("".join(y)))
-    if longer < SUPPORTED_SLIPS or not meet(2):
+    if cosine < FLOOR or not meet(2):
         return OTHER
-    return SAME if longer >= TWO_SLIPS or (longer >= KEPT_LETTERS and meet(2, 3)) else PERHAPS
-
-
-def same_name(a: str, b: str) -> bool:
-    """Whether two names are spellings of one by themselves, whatever else is known."""
-    return judged(a, b) == SAME
+    if meet(1, 3):  # a letter left out and another put in its place is a replaced one, though two steps make it, too
+        return SAME if cosine >= SAME_LETTERS else PERHAPS
+    least = OTHER_LETTER if meet(1) else SAME_LETTERS if meet(2, 3) else OTHER_LETTERS
+    return SAME if cosine >= least else PERHAPS
 
 
 def named(df: DataFrame, key: str, title: str, facts: list[str]) -> DataFrame:
-    """(id, name, numeric, facts) of each listing: its name's segments in order; number, kind and amount; other facts."""
+    """(id, name, numeric, subtitle, facts) of each listing: its name's segments in order; number, kind and amount; the
+    subtitle behind a number, null for none; other facts."""
 
-    @F.pandas_udf("struct<name:string,numeric:string>")
+    @F.pandas_udf("struct<name:string,numeric:string,subtitle:string>")
     def parts(titles):
         import pandas as pd
 
         read = [parse_title(t) for t in titles]
-        return pd.DataFrame({"name": [p.core for p in read], "numeric": [p.numeric for p in read]})
+        return pd.DataFrame({"name": [p.core for p in read], "numeric": [p.numeric for p in read], "subtitle": [p.subtitle or None for p in read]})
 
     known = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.nullif(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(facts)]).cast("array<string>"), lambda f: f.isNotNull())
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(title).alias("_t"), known.alias("facts")).where("id IS NOT NULL AND trim(_t) <> ''")
-    return rows.withColumn("_p", parts("_t")).select("id", "_p.name", "_p.numeric", "facts")
+    return rows.withColumn("_p", parts("_t")).select("id", "_p.name", "_p.numeric", "_p.subtitle", "facts")
+
+
+def _unit(column) -> np.ndarray:
+    """Vectors of a column of bytes."""
+    return np.frombuffer(b"".join(column), np.float16).reshape(len(column), -1).astype(np.float32)
 
 
 def _vectors(names: DataFrame, table: np.ndarray, c: np.ndarray) -> DataFrame:
-    """(n, name, vector, list): each name's vector as bytes, and the list it lies in."""
+    """(n, name, vector, list): each name's vector as bytes (half precision), and the list it lies in."""
     shared = names.sparkSession.sparkContext.broadcast((table, c))
 
     def run(batches: Iterator) -> Iterator:
@@ -209,79 +215,131 @@ def _vectors(names: DataFrame, table: np.ndarray, c: np.ndarray) -> DataFrame:
         t, centre = shared.value
         for pdf in batches:
             v = embed(pdf["name"].tolist(), t)
-            yield pd.DataFrame({"n": pdf["n"], "name": pdf["name"], "vector": [r.tobytes() for r in v], "list": (v @ centre.T).argmax(1) if len(v) else []})
+            yield pd.DataFrame({"n": pdf["n"], "name": pdf["name"], "vector": [r.tobytes() for r in v.astype(np.float16)], "list": (v @ centre.T).argmax(1) if len(v) else []})
 
     return names.select("n", "name").mapInPandas(run, "n bigint, name string, vector binary, list int")
 
 
-def _probed(vectors: DataFrame, c: np.ndarray, probes: int) -> DataFrame:
-    """Queries: a row for each of the lists nearest to a name."""
-    shared = vectors.sparkSession.sparkContext.broadcast(c)
+def _grouped_lists(index: DataFrame, c: np.ndarray) -> np.ndarray:
+    """Group of each list: lists with near centres stand together, in groups of about GROUP_NAMES names; a list with more
+    is a group by itself. At most LISTS counts reach the driver."""
+    sizes = np.zeros(len(c), np.int64)
+    for number, count in index.groupBy("list").count().collect():
+        sizes[number] = count
+    group, g, filled = np.zeros(len(c), np.int64), 0, 0
+    rest = set(range(len(c)))
+    at = 0
+    while rest:  # a walk from centre to nearest centre not yet placed
+        rest.discard(at)
+        if filled and filled + sizes[at] > GROUP_NAMES:
+            g, filled = g + 1, 0
+        group[at], filled = g, filled + sizes[at]
+        if rest:
+            left = np.fromiter(rest, np.int64)
+            at = int(left[(c[left] @ c[at]).argmax()])
+    return group
+
+
+def _probed(vectors: DataFrame, c: np.ndarray, group: np.ndarray, probes: int) -> DataFrame:
+    """Queries: a row for each group that holds lists nearest to a name, with those lists."""
+    shared = vectors.sparkSession.sparkContext.broadcast((c, group))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        centre, of = shared.value
+        k = min(probes, len(centre))
         for pdf in batches:
-            v = np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(len(pdf), -1)
-            k = min(probes, len(shared.value))
-            near = np.argpartition(-(v @ shared.value.T), k - 1, axis=1)[:, :k] if len(pdf) else np.zeros((0, k), int)
-            yield pd.DataFrame({"q": np.repeat(pdf["n"].to_numpy(), k), "vector": np.repeat(pdf["vector"].to_numpy(), k), "list": near.ravel()})
-
-    return vectors.select("n", "vector").mapInPandas(run, "q bigint, vector binary, list int")
-
-
-def search(queries: DataFrame, index: DataFrame, c: np.ndarray, probes: int, k: int = NEIGHBOURS, near: float = NEAR) -> DataFrame:
-    """(q, n, cosine): each query's k nearest names of the probed lists, and every name there nearer than ``near``.
-
-    A list is searched in blocks of bounded size: its names are spread over index blocks, the queries that probe it over
-    query blocks, and each pair of blocks meets once, so a list that holds a third of all names is many small tasks.
+            if not len(pdf):
+                continue
+            near = np.argpartition(-(_unit(pdf["vector"]) @ centre.T), k - 1, axis=1)[:, :k].astype(np.int16)
+            qs, vs, gs, ls = [], [], [], []
+            for q, v, row in zip(pdf["n"], pdf["vector"], near):
+                groups = of[row]
+                for g in np.unique(groups):
+                    qs.append(q)
+                    vs.append(v)
+                    gs.append(int(g))
+                    ls.append(row[groups == g].tobytes())
+            yield pd.DataFrame({"q": qs, "vector": vs, "group": gs, "lists": ls})
+
+    return vectors.select("n", "vector").mapInPandas(run, "q bigint, vector binary, group int, lists binary")
+
+
+def search(queries: DataFrame, index: DataFrame, c: np.ndarray, probes: int, k: int = NEIGHBOURS, near: float = NEAR, floor: float = FLOOR) -> DataFrame:
+    """(q, n, cosine, rank): each query's k nearest names of the probed lists, and every name there nearer than ``near``.
+
+    Lists near each other are searched in one task, so a query travels once for all its lists there, and only its k
+    nearest of them leave the task, none below ``floor``. Group and queries are cut into blocks of bounded size that
+    meet once each: a list that holds a third of all names is many small tasks.
     """
-    probed = _probed(queries, c, probes)
-    width = lambda df, block: {r[0]: -(-r[1] // block) for r in df.groupBy("list").count().collect()}  # noqa: E731  at most LISTS rows
-    across, down = width(index, INDEX_BLOCK), width(probed, QUERY_BLOCK)
+    group = _grouped_lists(index, c)
     spark = index.sparkSession
-    blocks = F.broadcast(spark.createDataFrame([(i, across[i], down.get(i, 1)) for i in across] or [(-1, 1, 1)], "list int, across int, down int"))
+    placed = index.join(F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "list int, group int")), "list")
+    probed = _probed(queries, c, group, probes)
+    width = lambda df, block: {r[0]: -(-r[1] // block) for r in df.groupBy("group").count().collect()}  # noqa: E731  at most LISTS rows
+    across, down = width(placed, 2 * GROUP_NAMES), width(probed, QUERY_BLOCK)
+    blocks = F.broadcast(spark.createDataFrame([(i, across[i], down.get(i, 1)) for i in across] or [(-1, 1, 1)], "group int, across int, down int"))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = probed.join(blocks, "list").withColumn("y", F.pmod(F.xxhash64("q"), "down").cast("int")).select("list", "q", "vector", "y", every("across").alias("x"))
-    right = index.join(blocks, "list").withColumn("x", F.pmod(F.xxhash64("n"), "across").cast("int")).select("list", "n", "vector", "x", every("down").alias("y"))
+    left = probed.join(blocks, "group").withColumn("y", F.pmod(F.xxhash64("q"), "down").cast("int")).select("group", "q", "vector", "lists", "y", every("across").alias("x"))
+    right = placed.join(blocks, "group").withColumn("x", F.pmod(F.xxhash64("n"), "across").cast("int")).select("group", "list", "n", "vector", "x", every("down").alias("y"))
 
     def meet(a, b):
         import pandas as pd
 
+        none = pd.DataFrame({"q": [], "n": [], "cosine": []}).astype({"q": "int64", "n": "int64", "cosine": "float32"})
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "n": [], "cosine": []}).astype({"q": "int64", "n": "int64", "cosine": "float32"})
-        u = np.frombuffer(b"".join(a["vector"]), np.float32).reshape(len(a), -1)
-        v = np.frombuffer(b"".join(b["vector"]), np.float32).reshape(len(b), -1)
+            return none
+        u, v = _unit(a["vector"]), _unit(b["vector"])
+        wanted = [np.frombuffer(x, np.int16) for x in a["lists"]]
+        row = np.repeat(np.arange(len(a)), [len(w) for w in wanted])
+        asked = np.concatenate(wanted)
+        order = np.argsort(asked, kind="stable")
+        asked, row = asked[order], row[order]
+        held = b["list"].to_numpy()
+        by = np.argsort(held, kind="stable")
+        held = held[by]
+        queries, names = a["q"].to_numpy(), b["n"].to_numpy()
         qs, ns, cs = [], [], []
-        for at in range(0, len(u), 500):
-            s = u[at : at + 500] @ v.T
-            s[a["q"].to_numpy()[at : at + 500, None] == b["n"].to_numpy()[None, :]] = -2
-            keep = s >= near
-            if len(v) > k:
-                np.put_along_axis(keep, np.argpartition(-s, k - 1, axis=1)[:, :k], True, axis=1)
-            else:
-                keep[:] = True
-            keep &= s > 0.3
-            i, j = np.nonzero(keep)
-            qs.append(a["q"].to_numpy()[at + i])
-            ns.append(b["n"].to_numpy()[j])
-            cs.append(s[i, j])
-        return pd.DataFrame({"q": np.concatenate(qs), "n": np.concatenate(ns), "cosine": np.concatenate(cs)})
-
-    keys = ["list", "x", "y"]
+        for number in np.unique(held):
+            cols = by[np.searchsorted(held, number) : np.searchsorted(held, number, side="right")]
+            rows = row[np.searchsorted(asked, number) : np.searchsorted(asked, number, side="right")]
+            for at in range(0, len(rows), 500):
+                part = rows[at : at + 500]
+                s = u[part] @ v[cols].T
+                s[queries[part, None] == names[None, cols]] = -2
+                keep = s >= floor
+                if len(cols) > k:
+                    best = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    keep &= s >= np.minimum(best, near)
+                i, j = np.nonzero(keep)
+                qs.append(part[i])
+                ns.append(cols[j])
+                cs.append(s[i, j])
+        if not qs:
+            return none
+        q, n, cosine = np.concatenate(qs), np.concatenate(ns), np.concatenate(cs)
+        order = np.lexsort((names[n], -cosine, q))
+        q, n, cosine = q[order], n[order], cosine[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = (place < k) | (cosine >= near)
+        return pd.DataFrame({"q": queries[q[keep]], "n": names[n[keep]], "cosine": cosine[keep]})
+
+    keys = ["group", "x", "y"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q bigint, n bigint, cosine float")
     w = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "n")
     return found.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) | (F.col("cosine") >= near)).select("q", "n", "cosine", "rank")
 
 
 def mutual_pairs(found: DataFrame, k: int = NEIGHBOURS, near: float = NEAR) -> DataFrame:
-    """(a, b), a < b: names each of which is as near to the other as the other's k-th neighbour, or nearer than ``near``.
+    """(a, b, cosine), a < b: names each of which is as near to the other as the other's k-th neighbour, or nearer than ``near``.
 
     A pair met from one side only, because the other side's probes missed it, is judged by its cosine just the same.
     """
     reach = found.where(F.col("rank") <= k).groupBy(F.col("q").alias("n")).agg(F.min("cosine").alias("_c"), F.count("*").alias("_m"))
     kept = found.join(reach, "n", "left").where(F.col("_c").isNull() | (F.col("_m") < k) | (F.col("cosine") >= F.least(F.col("_c") - 1e-6, F.lit(near))))
-    return kept.select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).distinct()
+    return kept.groupBy(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).agg(F.max("cosine").alias("cosine"))
 
 
 def one_slip_pairs(names: DataFrame) -> DataFrame:
@@ -307,35 +365,37 @@ def one_slip_pairs(names: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def exact_neighbours(queries: list[tuple[int, bytes]], index: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(q, n): the k nearest of all names for a bounded number of queries, by brute force."""
+def exact_neighbours(queries: list[tuple[int, bytes]], index: DataFrame, k: int = NEIGHBOURS, floor: float = FLOOR) -> DataFrame:
+    """(q, n, list): the k nearest of all names, of a cosine of ``floor`` or more, and the lists they lie in, for a bounded
+    number of queries, by brute force."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         q = np.array([i for i, _ in shared.value], np.int64)
-        u = np.frombuffer(b"".join(v for _, v in shared.value), np.float32).reshape(len(q), -1)
+        u = _unit([v for _, v in shared.value])
         for pdf in batches:
             if not len(pdf):
                 continue
             n = pdf["n"].to_numpy()
-            s = u @ np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(len(n), -1).T
+            s = u @ _unit(pdf["vector"]).T
             s[q[:, None] == n[None, :]] = -2
             m = min(k, len(n))
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            yield pd.DataFrame({"q": np.repeat(q, m), "n": n[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
+            yield pd.DataFrame({"q": np.repeat(q, m), "n": n[top].ravel(), "list": pdf["list"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
 
     w = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "n")
-    found = index.select("n", "vector").mapInPandas(run, "q bigint, n bigint, cosine float").where("cosine > 0.3")
-    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select("q", "n")
+    found = index.select("n", "vector", "list").mapInPandas(run, "q bigint, n bigint, list int, cosine float").where(F.col("cosine") >= floor)
+    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select("q", "n", "list")
 
 
 def build_index(names: DataFrame) -> tuple[DataFrame, np.ndarray, int, float]:
     """(vectors, centres, probes, recall) of distinct names (n, name).
 
     Encoder and centres are fitted on the names with the smallest hashes, TRAINING_NAMES and CENTRE_NAMES of them; every
-    name is indexed. The probes double until the neighbours found for TUNING_NAMES names hold RECALL of the exact ones.
+    name is indexed. The probes double until RECALL of the exact neighbours of TUNING_NAMES names, those of a cosine that
+    two spellings of a name have (SAME_LETTERS or more), lie in the probed lists.
     """
     order = F.xxhash64(F.lit(SEED), "name")
     sample = [r[0] for r in names.orderBy(order, "name").limit(CENTRE_NAMES).select("name").collect()]
@@ -345,66 +405,93 @@ def build_index(names: DataFrame) -> tuple[DataFrame, np.ndarray, int, float]:
     c = centres(embed(sample, table), lists) if sample else np.zeros((1, DIMENSIONS), np.float32)
     vectors = cut(_vectors(names, table, c))
     tuning = vectors.orderBy(F.xxhash64(F.lit(SEED + 1), "n"), "n").limit(TUNING_NAMES)
-    tuning = cut(tuning)
     queries = [(r["n"], bytes(r["vector"])) for r in tuning.select("n", "vector").collect()]
-    if not queries:
-        return vectors, c, 1, 1.0
-    exact = {(r[0], r[1]) for r in exact_neighbours(queries, vectors).collect()}
-    probes, recall = min(8, len(c)), 0.0
+    exact = exact_neighbours(queries, vectors, floor=SAME_LETTERS).select("q", "list").collect() if queries else []
+    if not exact:
+        return vectors, c, min(8, len(c)), 1.0
+    row = {q: i for i, (q, _) in enumerate(queries)}
+    nearness = _unit([v for _, v in queries]) @ c.T
+    # how many lists are nearer to the query than the one its neighbour lies in
+    before = np.array([(nearness[row[q]] > nearness[row[q], number]).sum() for q, number in exact])
+    probes = 1
+    while (before < probes).mean() < RECALL:
+        probes *= 2
+    return vectors, c, min(probes, len(c)), float((before < probes).mean())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each node's component; edges (a, b) of bigints.
+
+    Large-star and small-star steps in turn: each node's greater, then its lesser neighbours are tied to the least of
+    them, until nothing changes; a chain of any length halves in each round. Lineage is cut in each step.
+    """
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = None
     while True:
-        found = {(r[0], r[1]) for r in search(tuning, vectors, c, probes, near=2.0).select("q", "n").collect()}
-        recall = len(exact & found) / max(1, len(exact))
-        if recall >= RECALL or probes >= len(c):
-            return vectors, c, probes, recall
-        probes = min(2 * probes, len(c))
-
-
-def components(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """(node, label): the least node of each node's component; edges (a, b) of bigints. Lineage is cut in each round."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(limit):
-        offered = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_l"))
-        stepped = labels.join(offered, "node").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("_c"))
-        stepped = cut(stepped)
-        changed = stepped.where("_c").limit(1).count()
-        labels = stepped.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = ()) -> DataFrame:
-    """(id, name, numeric, group): listings with the group of their item.
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        links = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        tied = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+        if now == mark:
+            break
+        mark = now
+    return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def joined_names(names: DataFrame, facts: DataFrame) -> DataFrame:
+    """(node, label): names (n, name) that are spellings of one, by the label of their component; facts: n, fact."""
+    vectors, c, probes, recall = build_index(names)
+    found = mutual_pairs(cut(search(vectors, vectors, c, probes)))
+
+    @F.pandas_udf("float")
+    def cosine(x, y):
+        import pandas as pd
 
-    Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
-    of one key give it two rows. Equal names are one point of the index, so copies cost nothing; names of different
-    spelling join through mutual neighbours and one-letter deletions that pass the exact check, and listings of joined
-    names are one group if number, kind and amount agree too: a spelling that stands with another number still joins the
-    others. Names that are two slips apart and short, or not long and with a letter replaced, need a listing each that
-    agree in one of the ``facts`` columns (null and empty ones agree with nothing). The group's id is a hash of the least
-    hash of the joined names and of number, kind and amount. An empty table gives no rows.
-    """
-    rows = cut(named(df, key, title, list(facts)).distinct().withColumn("n", F.xxhash64("name")))
-    names = rows.select("n", "name").dropDuplicates(["n"])
-    vectors, c, probes, _ = build_index(names)
-    mutual = mutual_pairs(cut(search(vectors, vectors, c, probes))).unionByName(one_slip_pairs(names)).distinct()
+        return pd.Series((_unit(x) * _unit(y)).sum(1) if len(x) else [], dtype="float32")
 
     @F.pandas_udf("int")
-    def judge(x, y):
+    def judge(x, y, near):
         import pandas as pd
 
-        return pd.Series([judged(a, b) for a, b in zip(x, y)], dtype="int32")
+        return pd.Series([judged(a, b, s) for a, b, s in zip(x, y, near)], dtype="int32")
 
+    known = vectors.select("n", "name", "vector")
+    slips = one_slip_pairs(names).join(found, ["a", "b"], "left_anti")
+    slips = slips.join(known.toDF("a", "x", "_u"), "a").join(known.toDF("b", "y", "_v"), "b").select("a", "b", "x", "y", cosine("_u", "_v").alias("cosine"))
     spelled = vectors.select("n", "name")
-    checked = mutual.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").select("a", "b", judge("x", "y").alias("same"))
-    checked = cut(checked.where(F.col("same") > OTHER))
+    met = found.join(spelled.toDF("a", "x"), "a").join(spelled.toDF("b", "y"), "b").select("a", "b", "x", "y", "cosine").unionByName(slips)
+    checked = cut(met.select("a", "b", judge("x", "y", "cosine").alias("same")).where(F.col("same") > OTHER))
     sure = F.col("same") == SAME
-    known = rows.select("n", F.explode("facts").alias("fact")).distinct()
-    supported = checked.where(~sure).join(known.toDF("a", "fact"), "a").join(known.toDF("b", "fact"), ["b", "fact"]).select("a", "b")
-    spellings = components(checked.where(sure).select("a", "b").unionByName(supported).distinct())
-    placed = rows.join(spellings.withColumnRenamed("node", "n"), "n", "left").withColumn("_g", F.coalesce("label", "n"))
-    return placed.select("id", "name", "numeric", F.xxhash64("_g", "numeric").alias("group"))
+    supported = checked.where(~sure).join(facts.toDF("a", "fact"), "a").join(facts.toDF("b", "fact"), ["b", "fact"]).select("a", "b")
+    return components(checked.where(sure).select("a", "b").unionByName(supported).distinct())
+
+
+def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = ()) -> DataFrame:
+    """(id, name, numeric, group): listings with the group of their item.
+
+    Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
+    of one key give it two rows. Equal names are one point of the index, so copies cost nothing; names of different
+    spelling join through mutual neighbours, and through one-letter deletions where crowds of others are nearer, if
+    their cosine allows (``judged``); listings of joined names are one group if number, kind, amount and the numbers
+    inside their names agree too: a spelling that stands with another number still joins the others. Names between two
+    cosines need a listing each that agree in one of the ``facts`` columns (null and empty ones agree with nothing). A
+    numbered game's listings with two different subtitles are two items; one without a subtitle joins those with one if
+    they have no other. The group's id is a hash of the least hash of the joined names and of what must agree. An empty
+    table gives no rows.
+    """
+    rows = named(df, key, title, list(facts)).distinct()
+    rows = cut(rows.withColumn("n", F.xxhash64("name")).withColumn("m", F.when(F.col("subtitle").isNotNull(), F.xxhash64("subtitle"))))
+    names = rows.select("n", "name").unionByName(rows.where("m IS NOT NULL").select(F.col("m").alias("n"), F.col("subtitle").alias("name"))).dropDuplicates(["n"])
+    label = cut(joined_names(names, rows.select("n", F.explode("facts").alias("fact")).distinct()))
+    one = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    placed = rows.join(one("n"), "n", "left").join(one("m"), "m", "left").select("id", "name", "numeric", F.coalesce("_n", "n").alias("_g"), F.coalesce("_m", "m").alias("_s"))
+    subtitles = placed.where("_s IS NOT NULL").groupBy("_g", "numeric").agg(F.when(F.min("_s") == F.max("_s"), F.min("_s")).alias("_only"))
+    whole = placed.join(subtitles, ["_g", "numeric"], "left").withColumn("_s", F.coalesce("_s", "_only"))
+    return whole.select("id", "name", "numeric", F.xxhash64("_g", "numeric", "_s").alias("group"))
 
 
 def same_item_pairs(groups: DataFrame) -> DataFrame:

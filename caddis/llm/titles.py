@@ -48,14 +48,14 @@ ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii":
 
 _NOISE = re.compile(r"(?<![a-z0-9])(?:" + "|".join([*PLATFORMS, *EDITIONS]) + r")(?![a-z0-9])")
 _ADS = re.compile(r"(?<![a-z0-9])(?:" + "|".join(a for a in ADVERTS if not a.startswith(r"\+")) + r")(?![a-z0-9])|\+ ?bonus content")
-_MAKER = re.compile(rf"^\W*{MAKERS} presents\b|\bby {MAKERS}(?=\W*$)|^\W*{MAKERS} ?:|[(\[]{MAKERS}[)\]]|(?<=\W){MAKERS}(?=\W*$)")
+_MAKER = re.compile(rf"^\W*{MAKERS} presents\b|\bby {MAKERS}(?=\W*$)|^\W*{MAKERS} ?:|[(\[]{MAKERS}[)\]]")
 _TRACK = re.compile(r"(?<![a-z])(?:(?:the )?original soundtrack|soundtrack|o\.?s\.?t\.?)(?![a-z])")
 _MEMBER = re.compile(r"(?<![a-z])(?:season )?(?:membership|pass)(?![a-z])")
 _SPAN = re.compile(r"(?<![a-z0-9.])(\d+|one|two|three|four|five|six)[ -]*(months?|mos?|years?|yrs?)(?![a-z])\.?")
 _AMOUNT = re.compile(r"(?<![a-z0-9.,])(?:pack of )?(\d[\d,.]*?)( ?k)?(?: ?x)? (credits?|coins?|gems?|shards?|tokens?|points?|crystals?)(?![a-z])(?: (?:bundle|pack))?")
 _SERIES = re.compile(r"(?<![a-z0-9])(?:(?:part|vol\.?|volume|chapter|episode|no\.?|#) |(?:vol\.?|part|#)(?=\d))?#?(\d{1,2}|" + "|".join(sorted([*NUMBER_WORDS, *ROMAN], key=len, reverse=True)) + r")(?![a-z0-9'])")
 _CUT = re.compile(r"[:|()\[\]{}–—;~★☆]+|(?<=\s)-+(?=\s)|\s-+\s|^-+\s|\s-+$|[!?]+(?=\s|$)|\+")
-_ARTICLE = re.compile(r"^(?:the|for|te|th|he|teh|hte|tthe|thhe|thee)(?=\s+\S)")  # with a slip, too
+_FIRST = re.compile(r"^([a-z]{2,4})\s+(?=\S)")
 _GLUED = re.compile(r"^the(?=[a-z]{4,12}of[a-z]{4})")
 _LOCAL_EDITION = re.compile(r"\s*[(（][^()（）]*版[)）]|\s+[^\s《》]*(?: one)?\s*版(?=\W*$)")
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "`": "'", "´": "'"})
@@ -80,6 +80,7 @@ class Title:
     number: int
     kind: str
     amount: int
+    subtitle: str = ""  # of a numbered game; sellers may leave it out
 
     @property
     def core(self) -> str:
@@ -87,8 +88,9 @@ class Title:
 
     @property
     def numeric(self) -> str:
-        """What must agree between two listings of one item."""
-        return f"{self.kind}|{self.amount}|{self.number}"
+        """What must agree between two listings of one item: kind, amount, number, and numbers inside the name."""
+        inside = re.findall(r"\d+", " ".join(self.segments))
+        return "|".join(map(str, [self.kind, self.amount, self.number, *inside]))
 
 
 def slipped(a: str, b: str) -> bool:
@@ -115,6 +117,14 @@ def _mended(word: str) -> str:
     return word
 
 
+def _plain(part: str) -> str:
+    """A part of a title without a leading article, also one with a letter left out, doubled or swapped."""
+    m = _FIRST.match(part)
+    if m and (m[1] == "for" or (slipped(m[1], "the") and (len(m[1]) != 3 or sorted(m[1]) == sorted("the")) and (len(m[1]) < 4 or set(m[1]) == set("the")))):
+        return part[m.end() :]
+    return part
+
+
 def _number(text: str) -> int | None:
     return int(text) if text.isdigit() else NUMBER_WORDS.get(text) or ROMAN.get(text)
 
@@ -155,11 +165,17 @@ def parse_title(text: str) -> Title:
             number, base = _number(m.group(1)), parts[i - 1]
             parts = parts[:i] + parts[i + 1 :]
             break
+    joined = lambda p: _GLUED.sub("", re.sub(r"[\W_]+", "", _plain(p.strip())))
+    subtitle = ""
     if number > 1 and base and re.search(r"[^\W_]", base):
-        parts = [base]  # the number names the game of its series; a subtitle beside it may be left out
-    names = [_GLUED.sub("", re.sub(r"[\W_]+", "", _ARTICLE.sub("", p.strip()))) for p in parts]
-    segments = tuple(n for n in names if n) or (re.sub(r"[\W_]+", "", whole),)
-    return Title(segments, " ".join(re.findall(r"[^\W_]+", " ".join(parts))), number, kind, amount)
+        # the number names the game of its series; a subtitle behind it may be left out
+        base = base.strip()
+        at = next(i for i, p in enumerate(parts) if p.startswith(base))
+        rest = [parts[at][len(base) :], *parts[:at], *parts[at + 1 :]]
+        subtitle = "".join(joined(p) for p in rest)
+        parts = [base]
+    segments = tuple(n for n in map(joined, parts) if n) or (re.sub(r"[\W_]+", "", whole),)
+    return Title(segments, " ".join(re.findall(r"[^\W_]+", " ".join(parts))), number, kind, amount, subtitle)
 
 
 @lru_cache(maxsize=100_000)
