@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caddis.llm.titles import Title, parse_title
 from caddis.session import cut
 
-#: Names shorter than this must be equal; longer ones may differ by one slip.
-SLIP_LENGTH = 6
-#: Ridge added to the variances, rounds of expectation maximisation, and years beyond which two dates are two things.
-RIDGE, ROUNDS, YEARS = 0.03, 12, 6.0
+#: Ridge added to the variances, and rounds of expectation maximisation.
+RIDGE, ROUNDS = 0.03, 12
 FEATURES = ("f_title", "f_time", "f_genre", "f_number")
 
 
@@ -32,11 +32,11 @@ def spellings(title: Title) -> list[str]:
     return list(dict.fromkeys("".join(s[i:] + s[:i]) for i in range(len(s))))
 
 
-def slip_keys(name: str, least: int = SLIP_LENGTH) -> list[int]:
-    """Hashes of the name and, from ``least`` letters on, without any one of them: names one slip apart share a key."""
+def slip_keys(name: str) -> list[int]:
+    """Hashes of the name, whole and without any one of its letters: names one slip apart share a key."""
     import xxhash
 
-    parts = {name} | ({name[:i] + name[i + 1 :] for i in range(len(name))} if len(name) >= least else set())
+    parts = {name} | {name[:i] + name[i + 1 :] for i in range(len(name))} - {""}
     return [xxhash.xxh64_intdigest(p) - (1 << 63) for p in sorted(parts)]
 
 
@@ -143,6 +143,8 @@ def signatures(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of signatures whose names agree up to one slip, with their similarity vectors and how many they stand for.
 
+    Similarities are rounded to hundredths, so that there is a bounded number of different vectors.
+
     Names meet on hashes of their one-letter deletions, an equi-join in which each distinct name has one row per letter.
     """
     a = left.select(F.col("sig").alias("l_sig"), F.col("many").alias("l_many"), F.col("of").alias("l"), F.col("name").alias("_a"), "keys")
@@ -161,10 +163,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         "r_id",
         "l_many",
         "r_many",
-        gap.alias("gap"),
-        _name("l.names", "r.names").alias("f_title"),
-        F.exp(-gap / 2).alias("f_time"),
-        F.when(both, (shared + 1) / 2).alias("f_genre"),
+        F.round(_name("l.names", "r.names"), 2).alias("f_title"),
+        F.round(F.exp(-gap / 2), 2).alias("f_time"),
+        F.round(F.when(both, (shared + 1) / 2), 2).alias("f_genre"),
         agree.cast("double").alias("f_number"),
     )
 
@@ -177,41 +178,87 @@ def _density(x: list[Column], mean: np.ndarray, covariance: np.ndarray) -> Colum
     return F.lit(float(-0.5 * np.linalg.slogdet(covariance)[1])) - form * 0.5
 
 
-def _exclusive(scored: DataFrame, name: str) -> DataFrame:
-    """Probabilities from log odds ``_odds``, exclusive within a left record: they and that of no match sum to one.
+def _statistics(parameters: list):
+    """What a round adds up over rows (candidates, many): mass of matches, mass of all, and both components' moments.
+
+    parameters: (weight, mean, covariance) of matches and of the rest; empty before the first round, which starts from
+    a guess: alike in all features or not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(FEATURES)
+        sums = np.zeros(2 + 2 * (d + d * (d + 1) // 2))
+        for batch in batches:
+            lists = batch.column("candidates")
+            lengths = np.asarray(pa.compute.list_value_length(lists), np.int64)
+            if not len(lengths):
+                continue
+            flat = lists.flatten()
+            x = np.column_stack([np.asarray(flat.field(f"_{f}"), float) for f in FEATURES])
+            n, row = np.asarray(flat.field("n"), float), np.repeat(np.arange(len(lengths)), lengths)
+            if parameters:
+                logs = []
+                for weight, mean, covariance in parameters:
+                    centred = x - mean
+                    form = np.einsum("ni,ij,nj->n", centred, np.linalg.inv(covariance), centred)
+                    logs.append(np.log(weight) - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * form)
+                odds = logs[0] - logs[1]
+            else:
+                odds = np.where(x.mean(1) > 0.8, 2.0, -2.0)
+            top = np.maximum(0.0, np.maximum.reduceat(odds, np.concatenate(([0], np.cumsum(lengths)[:-1]))))
+            e = np.exp(odds - top[row])
+            p = e / (np.exp(-top) + np.bincount(row, e * n, len(lengths)))[row]
+            mass = n * np.asarray(batch.column("many"), float)[row]
+            at = 2
+            sums[0] += (p * mass).sum()
+            sums[1] += mass.sum()
+            for weight in (p * mass, (1 - p) * mass):
+                sums[at : at + d] += weight @ x
+                second = (x * weight[:, None]).T @ x
+                sums[at + d : at + d + d * (d + 1) // 2] += second[np.tril_indices(d)]
+                at += d + d * (d + 1) // 2
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _normaliser(odds) -> tuple[Column, Column]:
+    """(greatest log odds, for a column ``_top``; log of the sum of the odds of a record's candidates and of no match (1), by its array ``candidates``).
 
     Entries alike in all that is compared share theirs, so none of them passes one half.
     """
-    group = Window.partitionBy("l_sig")
-    top = F.greatest(F.lit(0.0), F.max("_odds").over(group))
-    shifted = scored.withColumn("_top", top).withColumn("_e", F.exp(F.col("_odds") - F.col("_top")))
-    return shifted.withColumn(name, F.col("_e") / (F.exp(-F.col("_top")) + F.sum(F.col("_e") * F.col("r_many")).over(group))).drop("_odds", "_top", "_e")
+    top = F.aggregate("candidates", F.lit(0.0), lambda a, c: F.greatest(a, odds(c)))
+    total = F.aggregate("candidates", F.exp(-F.col("_top")), lambda a, c: a + c["n"] * F.exp(odds(c) - F.col("_top")))
+    return top, F.log(total) + F.col("_top")
 
 
 def fit_posteriors(pairs: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE) -> DataFrame:
     """pairs with ``posterior``: the probability that the two records are the same thing.
 
-    Each pair counts as often as the records that it stands for. A missing feature takes the mean of the pairs that have it, and so tells nothing. Each round is one aggregate over
-    all pairs; weights, means and covariances, a few numbers, are what reaches the driver.
+    Each pair counts as often as the records that it stands for. A missing feature takes the mean of the pairs that have
+    it, and so tells nothing. Only what a record's candidates look like matters to the fit: the similarity vectors that
+    occur among them and how often. Records with the same such candidates are one row, written once; a round of the
+    expectation maximisation reads these rows, makes each one's probabilities exclusive inside its array, and adds up.
+    No round shuffles; weights, means and covariances, a few numbers, are what reaches the driver. An array holds
+    different vectors only, so its length is bounded by the number of these, however many candidates a record has.
     """
     many = F.col("l_many") * F.col("r_many")
     weighted = lambda c: F.sum(F.when(F.col(c).isNotNull(), many) * F.col(c)) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), many)), F.lit(0))
     means = pairs.agg(*[weighted(c).alias(c) for c in FEATURES]).head()
     filled = pairs.select("*", *[F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)).alias(f"_{c}") for c in FEATURES])
-    x = [F.col(f"_{c}") for c in FEATURES]
+    x = [f"_{c}" for c in FEATURES]
     d = len(x)
-    if pairs.isEmpty():
+    vectors = filled.groupBy("l_sig", *x).agg(F.first("l_many").alias("l_many"), F.sum("r_many").alias("n"))
+    records = cut(vectors.groupBy("l_sig").agg(F.first("l_many").alias("many"), F.sort_array(F.collect_list(F.struct(*x, "n"))).alias("candidates")))
+    shapes = cut(records.groupBy("candidates").agg(F.sum("many").alias("many")))
+    total = shapes.agg(F.sum("many")).head()[0]
+    if not total:
         return pairs.withColumn("posterior", F.lit(0.0))
-    # from a guess: alike in all features or not
-    log_odds: Column = F.when(sum(x, F.lit(0.0)) / d > 0.8, 2.0).otherwise(-2.0)
+    parameters: list = []
     last = None
     for _ in range(rounds):
-        current = _exclusive(filled.withColumn("_odds", log_odds), "_p")
-        sums = [F.sum(F.col("_p") * many), F.sum(many)]
-        for weight in (F.col("_p") * many, (F.lit(1.0) - F.col("_p")) * many):
-            sums += [F.sum(weight * c) for c in x] + [F.sum(weight * x[i] * x[j]) for i in range(d) for j in range(i + 1)]
-        row = list(current.agg(*sums).head())
-        total = max(row[1], 1)
+        parts = shapes.mapInArrow(_statistics(parameters), "sums array<double>").collect()  # one row a partition
+        row = np.sum([r[0] for r in parts], axis=0)
         parameters, at = [], 2
         for mass in (max(row[0], 1e-6), max(row[1] - row[0], 1e-6)):
             mean = np.array(row[at : at + d], float) / mass
@@ -221,23 +268,25 @@ def fit_posteriors(pairs: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE)
                 for j in range(i + 1):
                     covariance[i, j] = covariance[j, i] = row[at] / mass - mean[i] * mean[j]
                     at += 1
-            parameters.append((mass / total, mean, 0.8 * covariance + 0.2 * np.diag(np.diag(covariance)) + ridge * np.eye(d)))
+            parameters.append((mass / max(row[1], 1), mean, 0.8 * covariance + 0.2 * np.diag(np.diag(covariance)) + ridge * np.eye(d)))
         (wm, mm, cm), (wu, mu, cu) = parameters
-        log_odds = F.lit(float(np.log(wm) - np.log(wu))) + _density(x, mm, cm) - _density(x, mu, cu)
         now = np.concatenate([mm, mu])
         if last is not None and np.abs(now - last).max() < 1e-3:
             break
         last = now
-    return _exclusive(filled.withColumn("_odds", log_odds), "posterior").drop(*[f"_{c}" for c in FEATURES])
+    log_odds = lambda c: F.lit(float(np.log(wm) - np.log(wu))) + _density([c[f] for f in x], mm, cm) - _density([c[f] for f in x], mu, cu)
+    top, log_total = _normaliser(log_odds)
+    logs = records.withColumn("_top", top).select("l_sig", log_total.alias("_log"))
+    own = log_odds(F.struct(*x))
+    return filled.withColumn("_odds", own).join(logs, "l_sig").withColumn("posterior", F.exp(F.col("_odds") - F.col("_log"))).drop(*x, "_odds", "_log")
 
 
 def match_records(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(l_id, r_id, confidence): each left record's match among the right ones, if one is more probable than not.
 
     left and right have _id, _title, _date (text), _genres (array of strings) and _dlc (boolean), one row per id. The
-    most probable entry of a record is its match if its posterior is above the threshold and an exact check holds:
-    number, kind and amount agree and the dates, if both are known, lie at most ``YEARS`` apart. Records without a title
-    match nothing; missing dates or genres tell nothing either way; equally probable entries share the probability, so
+    most probable entry of a record is its match if its posterior is above the threshold. Records without a title match
+    nothing; missing dates or genres tell nothing either way; equally probable entries share the probability, so
     neither passes. Empty inputs give no rows.
     """
     points, members = signatures(left)
@@ -245,6 +294,5 @@ def match_records(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     scored = fit_posteriors(cut(candidate_pairs(points, entries)))
     w = Window.partitionBy("l_sig").orderBy(F.col("posterior").desc(), "r_id")
     best = scored.withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    sound = (F.col("f_number") == 1) & F.coalesce(F.col("gap") <= YEARS, F.lit(True))
-    chosen = best.where((F.col("posterior") > threshold) & sound).select(F.col("l_sig").alias("sig"), "r_id", F.col("posterior").alias("confidence"))
+    chosen = best.where(F.col("posterior") > threshold).select(F.col("l_sig").alias("sig"), "r_id", F.col("posterior").alias("confidence"))
     return members.join(chosen, "sig").select(F.col("_id").alias("l_id"), "r_id", "confidence")

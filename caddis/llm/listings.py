@@ -356,7 +356,7 @@ def one_slip_pairs(names: DataFrame) -> DataFrame:
 
         def of(name):
             s = name.split(" ")
-            return sorted({k for i in range(len(s)) for k in slip_keys("".join(s[i:] + s[:i]), 0)})
+            return sorted({k for i in range(len(s)) for k in slip_keys("".join(s[i:] + s[:i]))})
 
         return pd.Series([of(t) for t in texts])
 
