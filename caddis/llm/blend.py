@@ -32,17 +32,18 @@ def blended_ranking(df: DataFrame, key: str, scores: dict[str, int]) -> tuple[Da
     An empty table gives no rows. Other columns are ignored.
     """
     names = list(scores)
-    rows = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(names)])
-    moments = {}
-    for i in range(len(names)):
-        ranks = cut(value_ranks(rows, f"_s{i}"))
-        m = ranks.agg(F.sum("count"), F.sum(F.col("count") * F.col("rank")), F.sum(F.col("count") * F.col("rank") * F.col("rank"))).head()
-        n = m[0] or 0
-        mean = m[1] / n if n else 0.0
-        spread = max(m[2] / n - mean * mean, 0.0) ** 0.5 if n else 0.0
-        moments[i] = spread
+    columns = [f"_s{i}" for i in range(len(names))]
+    rows = cut(df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(s) for s, c in zip(columns, names)]))
+    ranks = cut(value_ranks(rows, columns))
+    sums = {r[0]: r[1:] for r in ranks.groupBy("column").agg(F.sum("count"), F.sum(F.col("count") * F.col("rank")), F.sum(F.col("count") * F.col("rank") * F.col("rank"))).collect()}
+    moments = []
+    for i, s in enumerate(columns):
+        n, first, second = sums.get(s, (0, 0.0, 0.0))
+        mean = first / n if n else 0.0
+        spread = max(second / n - mean * mean, 0.0) ** 0.5 if n else 0.0
+        moments.append(spread)
         z = ((F.col("rank") - F.lit(mean)) / F.lit(spread) * F.lit(float(scores[names[i]]))) if spread > 0 else F.lit(0.0)
-        rows = rows.join(ranks.select(F.col("value").alias(f"_s{i}"), z.alias(f"_z{i}")), f"_s{i}", "left")
+        rows = rows.join(ranks.where(F.col("column") == s).select(F.col("value").alias(s), z.alias(f"_z{i}")), s, "left")
     rows = cut(rows)
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
     sums = []
