@@ -1,9 +1,14 @@
 """Visually identical text in one consistent form.
 
-Blank and invisible characters, compatibility forms and composition are made one; then each token's resolved script set,
-the intersection of its characters' script sets, tells whether its letters fit one script. A token of mixed scripts is
-respelled in the one script all its letters have a look-alike in; a token of one script whose letters all have Latin
-look-alikes (a whole-script confusable) is respelled in Latin. Case, accents and signs are kept.
+Blank and invisible characters, compatibility forms and composition are made one. Then each token's resolved script set
+is taken: the intersection, over its letters, of the scripts that have a letter of that look. A token that resolves is
+spelled in the first of its scripts in a fixed order (a mixed token as well as a whole-script confusable); a token that
+doesn't is split at Han and kana, or spelled letter by letter. Katakana and the Han characters that look like them are
+told apart by the other signs of their run. Every choice depends only on how letters look, so texts that look the same come
+out the same. Case, accents and signs are kept.
+
+Which letters look alike is the public confusables data of Unicode as the ICU library in Spark's JVM has it (``icu``);
+without a JVM, a short list of common look-alikes.
 """
 
 from __future__ import annotations
@@ -12,26 +17,30 @@ import unicodedata
 from functools import cache, lru_cache
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Letters of other scripts that look like a Latin letter, by script.
-LOOKALIKES = {
-    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮԚԜЗаеѕіјорсухһԁԛԝвкмнтгпҽ", "ABESIJKMHOPCTYXYQW3aesijopcyxhdqwʙĸʍʜᴛrne"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳανρυικ", "ABEZHIKMNOPTYXocjavpuiĸ"),
+from caddis.session import cut
+
+# Common letters of other scripts that look like a Latin letter, by script.
+COMMON = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝгпҽ", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwrne"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳανρυι", "ABEZHIKMNOPTYXocjavpui"),
     "Armenian": ("ՍՏՕօոսհց", "USOonuhg"),
     "Cherokee": ("ᎪᎡᎢᎬᎳᎷᎻᏀᏃᏏᏔᏞᏟᏢᏦᎠᏴᏙ", "ARTEWMHGZbWLCPKDBV"),
 }
-# Kana that look like a Han character.
+# Katakana that look like a Han character.
 KANA_HAN = ("エタハロカニトオチムー", "工夕八口力二卜才千厶一")
+#: Scripts whose letters are respelled, in order of preference.
+ALPHABETS = ("Latin", "Cyrillic", "Greek", "Coptic", "Armenian", "Cherokee", "Lisu")
 
-_OTHER_TO_LATIN = {a: b for other, latin in LOOKALIKES.values() for a, b in zip(other, latin) if b.isascii() and b.isalpha()}
-_LATIN_TO = {script: {b: a for a, b in reversed(list(zip(other, latin))) if b.isascii()} for script, (other, latin) in LOOKALIKES.items()}
-_TO_HAN = dict(zip(*KANA_HAN))
-_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Hebrew", "Arabic", "Thai", "Devanagari")
+_TO_HAN, _TO_KANA = dict(zip(*KANA_HAN)), dict(zip(*reversed(KANA_HAN)))
+_SCRIPTS = (*ALPHABETS, "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Hebrew", "Arabic", "Thai", "Devanagari")
 _SCRIPT_OF = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in _SCRIPTS]
-_KANA = regex.compile(r"[\p{Script=Katakana}\p{Script=Hiragana}ー]")
-_HAN = regex.compile(r"\p{Script=Han}")
+_EITHER = f"[{''.join(KANA_HAN)}]"
+# Katakana and the Han characters that look like one; katakana with no Han look-alike (those with a voicing mark, too).
+_RUN = regex.compile(rf"(?:{_EITHER}|\p{{Script=Katakana}})+")
+_KATAKANA = regex.compile(rf"(?!{_EITHER})\p{{Script=Katakana}}")
 _INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]")
 _BLANK = regex.compile(r"[\s\p{Z}\p{Cc}⠀]+")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
@@ -39,6 +48,9 @@ _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 # compatibility ideographs, mathematical letters. Superscripts, trade marks and the like look different and stay.
 _FOLDED = regex.compile("[ﬀ-ﬆ！-￯Ⅰ-ⅿ⼀-⿟⺀-⻿豈-﫿\U0002f800-\U0002fa1f\U0001d400-\U0001d7ff․-…‐‑℀-ℓĲĳŁǄ-ǌǱ-ǳ]")
 _KEPT = frozenset("℀℁℅℆℉℃")
+# Signs that look the same: the minus sign and the hyphen, the modifier apostrophe and the closing quote. Dashes of other
+# lengths, straight quotes and primes look different and stay.
+_SIGNS = str.maketrans("−ʼ", "-’")
 ALL = frozenset({"*"})
 _JAPANESE, _HANB, _KOREAN = "Jpan", "Hanb", "Kore"
 
@@ -60,52 +72,96 @@ def script_set(ch: str) -> frozenset[str]:
     return frozenset({own} | extra.get(own, set()))
 
 
-def resolved_scripts(token: str) -> frozenset[str]:
-    """Intersection of the script sets of a token's characters; empty for a mixed-script token, ALL for a common one."""
-    resolved = ALL
-    for ch in token:
+def _case(ch: str) -> str:
+    return "l" if unicodedata.category(ch) == "Ll" else "u"
+
+
+class Lookalikes:
+    """Letters by their look: ``skeletons`` maps a letter to a text that it shares with all letters of its look."""
+
+    def __init__(self, skeletons: dict[str, str]):
+        self.look: dict[str, tuple[str, str]] = {}
+        self.letter: dict[str, dict[tuple[str, str], str]] = {s: {} for s in ALPHABETS}
+        for ch in sorted(skeletons, key=lambda c: (not c.isascii(), c)):  # ASCII letters stand for their look
+            script = next(iter(script_set(ch) & set(ALPHABETS)), None)
+            if script and len(skeletons[ch]) == 1:
+                look = self.look[ch] = (skeletons[ch], _case(ch))
+                if script != "Latin" or ch.isascii():  # no word is respelled in small capitals and the like
+                    self.letter[script].setdefault(look, ch)
+
+    def scripts(self, ch: str) -> frozenset[str]:
+        """Scripts that have a letter of this look; ALL for common and inherited characters."""
         own = script_set(ch)
-        if own is not ALL:
-            resolved = own if resolved is ALL else resolved & own
-    return resolved
-
-
-def _spell(token: str) -> str:
-    """Token (decomposed) in a consistent script."""
-    letters = [c for c in token if script_set(c) is not ALL]
-    resolved = resolved_scripts(token)
-    if not letters:
-        return token
-    if not resolved:
-        scripts = [next(iter(s & set(_SCRIPTS)), None) for s in map(script_set, letters)]
-        if all(s == "Latin" or c in _OTHER_TO_LATIN for c, s in zip(letters, scripts)):
-            return "".join(_OTHER_TO_LATIN.get(c, c) for c in token)
-        for target in sorted({s for s in scripts if s in _LATIN_TO}, key=lambda s: (-scripts.count(s), s)):
-            if all(s == target or _OTHER_TO_LATIN.get(c, c) in _LATIN_TO[target] for c, s in zip(letters, scripts)):
-                return "".join(c if script_set(c) is ALL or target in script_set(c) else _LATIN_TO[target][_OTHER_TO_LATIN.get(c, c)] for c in token)
-        if "Han" in scripts:  # runs of other letters beside Han characters, which need no blank between them
-            parts = regex.findall(r"[\p{Script=Han}\p{Script=Katakana}\p{Script=Hiragana}ー]+|[^\p{Script=Han}\p{Script=Katakana}\p{Script=Hiragana}ー]+", token)
-            if len(parts) > 1:
-                return "".join(map(_spell, parts))
-        if scripts.count("Latin") * 2 >= len(scripts):
-            return "".join(_OTHER_TO_LATIN.get(c, c) for c in token)
-        return token
-    if "Latin" not in resolved and all(c in _OTHER_TO_LATIN for c in letters):
-        return "".join(_OTHER_TO_LATIN.get(c, c) for c in token)
-    return token
+        if own is ALL or ch not in self.look:
+            return own
+        return own | {s for s in ALPHABETS if self.look[ch] in self.letter[s]}
+
+    def resolved(self, token: str) -> frozenset[str]:
+        """Intersection of the scripts of a token's characters: empty for a mixed-script token, ALL for a common one."""
+        out = ALL
+        for ch in token:
+            own = self.scripts(ch)
+            if own is not ALL:
+                out = own if out is ALL else out & own
+        return out
+
+    def _in(self, script: str, ch: str) -> str:
+        return self.letter[script].get(self.look.get(ch), ch)
+
+    def spell(self, token: str) -> str:
+        """A token (decomposed) in a consistent script."""
+        resolved = self.resolved(token)
+        if resolved is ALL:
+            return token
+        target = next((s for s in ALPHABETS if s in resolved), None)
+        if target:
+            return "".join(self._in(target, c) for c in token)
+        if resolved:
+            return token
+        parts = regex.findall(r"[\p{Script=Han}\p{Script=Katakana}\p{Script=Hiragana}ー]+|[^\p{Script=Han}\p{Script=Katakana}\p{Script=Hiragana}ー]+", token)
+        if len(parts) > 1:  # letters beside Han characters or kana, which need no blank between them
+            return "".join(map(self.spell, parts))
+        return "".join(self._in(next((s for s in ALPHABETS if s in self.scripts(c)), "Latin"), c) for c in token)
+
+
+def _common() -> Lookalikes:
+    latin = {chr(c): chr(c) for c in [*range(65, 91), *range(97, 123)]}
+    return Lookalikes(latin | {a: b for other, own in COMMON.values() for a, b in zip(other, own)})
+
+
+def icu(spark: SparkSession) -> Lookalikes:
+    """The look-alikes of Unicode's confusables data, asked of the JVM's ICU library in one call,
+    and the common ones.
+
+    Letters whose look is more than one character, and pairs that a reader can tell apart by their case, are left out.
+    """
+    checker = getattr(spark._jvm.com.ibm.icu.text.SpoofChecker, "Builder")().build()
+    alphabets = regex.compile("[" + "".join(rf"\p{{Script={s}}}" for s in ALPHABETS) + "]")
+    # letters that are composed or stand for others are taken apart before letters are compared
+    letters = [c for c in map(chr, range(0x41, 0x10000)) if alphabets.match(c) and unicodedata.category(c) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(c)]
+    skeletons = dict(zip(letters, checker.getSkeleton(0, "\n".join(letters)).split("\n")))
+    return Lookalikes(skeletons | {a: skeletons[b] for other, latin in COMMON.values() for a, b in zip(other, latin)})
+
+
+COMMON_LOOKS = _common()
+
+
+def _kana_or_han(m) -> str:
+    """A run of katakana and their look-alikes: katakana if any of it can be nothing else, else Han."""
+    to = _TO_KANA if _KATAKANA.search(m.group()) else _TO_HAN
+    return "".join(to.get(c, c) for c in m.group())
 
 
 @lru_cache(maxsize=50_000)
-def consistent_form(text: str) -> str:
+def consistent_form(text: str, looks: Lookalikes = COMMON_LOOKS) -> str:
     """The consistent form of a text; two texts that look the same have equal forms. Blank texts give ''."""
     s = _INVISIBLE.sub("", text)
-    s = unicodedata.normalize("NFC", _FOLDED.sub(_fold, s))
+    s = unicodedata.normalize("NFC", _FOLDED.sub(_fold, s)).translate(_SIGNS)
     s = _BLANK.sub(" ", s).strip(" ")
     if s.isascii():
         return s
-    if _HAN.search(s) and (kana := _KANA.findall(s)) and all(k in _TO_HAN for k in kana):
-        s = "".join(_TO_HAN.get(c, c) for c in s)  # no kana that is only kana: the look-alikes are Han characters
-    s = _TOKEN.sub(lambda m: _spell(m.group()), unicodedata.normalize("NFD", s))
+    s = _RUN.sub(_kana_or_han, s)
+    s = _TOKEN.sub(lambda m: looks.spell(m.group()), unicodedata.normalize("NFD", s))
     return unicodedata.normalize("NFC", s)
 
 
@@ -116,9 +172,11 @@ def with_consistent_form(df: DataFrame, column: str, name: str = "consistent") -
     Arrow-batched function. Texts of any length are processed whole.
     """
 
+    looks = icu(df.sparkSession)
+
     @F.pandas_udf("string")
     def form(texts):
-        return texts.map(consistent_form, na_action="ignore")
+        return texts.map(lambda t: consistent_form(t, looks), na_action="ignore")
 
     plain = F.col(column).rlike(r"\A[!-~]+( [!-~]+)*\z")
     return df.withColumn(name, F.coalesce(form(F.when(~plain, F.col(column))), F.col(column)))
@@ -132,7 +190,8 @@ def lookalike_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
     any of them qualifies. An empty table gives no rows.
     """
     rows = df.select(F.col(key).cast("string").alias("_id"), F.col(column).alias("_t")).where("_id IS NOT NULL AND _t IS NOT NULL").distinct()
-    texts = with_consistent_form(rows.select("_t").distinct(), "_t", "_c").where("_c <> ''")
+    rows = cut(rows)
+    texts = cut(with_consistent_form(rows.select("_t").distinct(), "_t", "_c").where("_c <> ''"))
     several = texts.groupBy("_c").agg(F.count("*").alias("_n")).where("_n > 1").select("_c")
     spelled = texts.join(several, "_c")
     meet = spelled.alias("a").join(spelled.alias("b"), "_c").where("a._t <> b._t").select(F.col("a._t").alias("_t"), F.col("b._t").alias("_u"))
