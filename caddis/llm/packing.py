@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers with items, certified by dual-feasible-function bounds.
 
 Items are packed best-fit decreasing in partitions of bounded size. Dual-feasible functions bound from below the number
-of containers a partition needs; a partition that uses no more is certified and left alone. The containers with gaps of
-the other partitions are opened, their items exchanged between partitions, and packed again.
+of containers a partition needs; a partition that uses no more is certified and left alone. In the others, containers
+with gaps are opened together with some full ones, and their items are packed anew, by best fit and by exact complements;
+what still has gaps is exchanged between partitions and packed again.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from caddis.session import cut
 
-#: Items packed in one task, and rounds of exchange.
-PARTITION_ITEMS, ROUNDS = 40_000, 2
+#: Items packed in one task, rounds of exchange between tasks, and draws of containers packed anew within one.
+PARTITION_ITEMS, ROUNDS, DRAWS = 40_000, 2, 1_000
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -66,6 +67,82 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, i
     return np.array(bins, np.int64), n
 
 
+def exact_complements(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """(container of each item, number of containers). Each container gets the largest item left, and then what fills it
+    exactly: one item, else the least even pair, else the largest item that fits."""
+    items: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in np.argsort(sizes, kind="stable")[::-1].tolist():
+        items[sizes[i]].append(i)
+    has = np.array([bool(x) for x in items])
+    bins, n, left, top = [0] * len(sizes), 0, len(sizes) - len(items[0]), capacity
+    has[0] = False
+
+    def take(size: int) -> None:
+        bins[items[size].pop()] = n
+        has[size] = bool(items[size])
+
+    while left:
+        while not items[top]:
+            top -= 1
+        take(top)
+        left, room = left - 1, capacity - top
+        while room and left:
+            fill = [room] if has[room] else []
+            if not fill:
+                half = (room + 1) // 2
+                pairs = has[half:room] & has[room - half : 0 : -1]
+                if room % 2 == 0 and len(pairs) and len(items[half]) < 2:
+                    pairs[0] = False
+                at = np.flatnonzero(pairs)
+                if len(at):
+                    fill = [half + int(at[-1]), room - half - int(at[-1])]
+            if not fill:
+                at = np.flatnonzero(has[:room])
+                if not len(at):
+                    break
+                fill = [int(at[-1])]
+            for size in fill:
+                take(size)
+                left, room = left - 1, room - size
+        n += 1
+    n = max(n, 1 if len(sizes) else 0)  # items of no size take no room
+    return np.array(bins, np.int64), n
+
+
+def packed_partition(sizes: np.ndarray, capacity: int, draws: int = DRAWS, seed: int = 1) -> tuple[np.ndarray, int, int]:
+    """(container of each item, number of containers, lower bound) of a partition.
+
+    Best-fit decreasing, and if its bound isn't met, exact complements; the better one is then opened ``draws`` times:
+    some containers with gaps and some full ones are packed anew, which is kept if it needs fewer, or as many and leaves
+    the gaps more together.
+    """
+    distinct, counts = np.unique(sizes, return_counts=True)
+    bound = lower_bound(distinct, counts, capacity)
+    bins, n = best_fit_decreasing(sizes, capacity)
+    if n <= bound:
+        return bins, n, bound
+    other, m = exact_complements(sizes, capacity)
+    if m < n:
+        bins, n = other, m
+    rng = np.random.default_rng(seed)
+    for turn in range(draws):
+        if n <= bound:
+            break
+        room = capacity - np.bincount(bins, sizes, n)
+        gaps, full = np.flatnonzero(room > 0), np.flatnonzero(room == 0)
+        some = min(len(gaps), int(rng.integers(2, 400)))
+        pick = np.sort(np.concatenate([rng.choice(gaps, some, replace=False), rng.choice(full, min(len(full), int(rng.integers(0, 3 * some + 2))), replace=False)]))
+        rows = np.flatnonzero(np.isin(bins, pick))
+        anew, count = (exact_complements if turn % 2 else best_fit_decreasing)(sizes[rows], capacity)
+        left = capacity - np.bincount(anew, sizes[rows], count)
+        if count < len(pick) or (count == len(pick) and (left**2).sum() >= (room[pick] ** 2).sum()):
+            bins[rows] = pick[anew]
+            if count < len(pick):
+                used, bins = np.unique(bins, return_inverse=True)
+                n = len(used)
+    return bins, n, bound
+
+
 def _pack(items: DataFrame, salt: int, buckets: dict[str, int], capacities: dict[str, int]) -> DataFrame:
     """Items with their container within a bucket, its room left, and whether the bucket is certified."""
 
@@ -73,14 +150,13 @@ def _pack(items: DataFrame, salt: int, buckets: dict[str, int], capacities: dict
         kind = pdf["kind"].iloc[0]
         capacity = capacities[kind]
         sizes = pdf["size"].to_numpy()
-        bins, n = best_fit_decreasing(sizes, capacity)
-        distinct, counts = np.unique(sizes, return_counts=True)
+        bins, n, bound = packed_partition(sizes, capacity)
         used = np.bincount(bins, sizes, n)
         out = pdf[["kind", "row", "piece", "size"]].copy()
         out["bin"] = bins
         out["room"] = (capacity - used[bins]).astype(np.int64)
         out["bucket"] = pdf["bucket"]
-        out["certified"] = n <= lower_bound(distinct, counts, capacity)
+        out["certified"] = n <= bound
         return out
 
     number = F.create_map(*[x for k, b in buckets.items() for x in (F.lit(k), F.lit(b))])[F.col("kind")]
@@ -99,7 +175,8 @@ def pack(items: DataFrame, capacities: dict[str, int], key: str = "doc_id", size
 
     Rows are numbered once in a checkpoint and spread over buckets by a hash of that number, so no key can make a bucket
     large. Each round keeps certified buckets and full containers, and exchanges the rest between fewer, newly drawn
-    buckets; a kind's exchange is kept only if it saves containers.
+    buckets; a kind's exchange is kept only if it saves containers. A kind in a single bucket has no other to exchange
+    with: its containers are opened and packed anew within the bucket (``packed_partition``).
     """
     if any(not c or c <= 0 for c in capacities.values()):
         raise ValueError("capacities must be positive")

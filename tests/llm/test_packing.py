@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from caddis.llm.packing import best_fit_decreasing, lower_bound, pack, packing_report
+from caddis.llm.packing import best_fit_decreasing, exact_complements, lower_bound, pack, packed_partition, packing_report
 
 SCHEMA = "doc_id bigint, tokens int, row int, kind string, size int"
 
@@ -29,6 +29,8 @@ def test_bound_never_exceeds_what_is_needed():
         tight += bound == real or sum(sizes) == 0
         bins, n = best_fit_decreasing(np.array(sizes), capacity)
         assert n >= real and max(np.bincount(bins, sizes)) <= capacity
+        for bins, n in (exact_complements(np.array(sizes), capacity), packed_partition(np.array(sizes), capacity)[:2]):
+            assert n >= real and max(np.bincount(bins, sizes)) <= capacity and len(bins) == len(sizes)
     assert tight > 40
 
 
@@ -61,3 +63,18 @@ def test_empty_and_bad_capacity(spark):
     with pytest.raises(ValueError):
         pack(df, {"s": 0})
     assert pack(spark.createDataFrame([(1, 0, 0, "", 0), (None, None, 0, "", 0)], SCHEMA), {"s": 5}).count() == 2
+
+
+def test_packing_anew_saves_containers_within_one_partition():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 128, 6000)
+    plain = best_fit_decreasing(sizes, 128)[1]
+    bins, n, bound = packed_partition(sizes, 128)
+    assert bound <= n < plain and np.bincount(bins, sizes).max() <= 128 and len(np.unique(bins)) == n
+
+
+def test_exchange_between_partitions_saves_containers(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, rng.randrange(30, 70), 1, "x", 2) for i in range(900)], SCHEMA)
+    used = [pack(df, {"s": 100}, partition_items=90, rounds=r).select("container_id").distinct().count() for r in (0, 2)]
+    assert used[1] < used[0]
