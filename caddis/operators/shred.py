@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,12 +25,16 @@ EDGES = "root_id bigint, part string, parent_id string, kind string, ordinal int
 
 @dataclass(frozen=True)
 class Child:
-    """A field that holds child objects: ``many`` for a list in any spelling, else one object at place 0."""
+    """A field that holds child objects: ``many`` for a list in any spelling, else one object at place 0.
+
+    ``numbers`` are the child's own fields that hold numbers, however they are spelled (62, 62.0, "62").
+    """
 
     field: str
     kind: str
     many: bool = True
     children: tuple["Child", ...] = field(default_factory=tuple)
+    numbers: tuple[str, ...] = ()
 
 
 def _refuse(name: str):
@@ -71,19 +76,33 @@ def _canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
+def _number(value):
+    """A number in one spelling; what isn't one stays."""
+    try:
+        number = float(value) if isinstance(value, (str, int, float)) and not isinstance(value, bool) else math.nan
+    except (ValueError, OverflowError):
+        return value
+    if not math.isfinite(number):
+        return value
+    return int(number) if number.is_integer() else number
+
+
 class Shredder:
     """Turns records into edges; keeps what it has already emitted, to emit each node and bridge once per partition."""
 
     def __init__(self, children: tuple[Child, ...], limit: int = 200_000):
         self.children, self.limit, self.seen = children, limit, set()
 
-    def node(self, value: dict, kind: str, children: tuple[Child, ...], out: list) -> str:
+    def node(self, value: dict, kind: str, children: tuple[Child, ...], out: list, numbers: tuple[str, ...] = ()) -> str:
         own, links = dict(value), []
+        for name in numbers:
+            if name in own:
+                own[name] = _number(own[name])
         for child in children:
             inner = own.pop(child.field, None)
             for place, entry in places(inner) if child.many else ([(0, inner)] if isinstance(inner, dict) else []):
                 if isinstance(entry, dict):
-                    links.append((child.kind, place, self.node(entry, child.kind, child.children, out)))
+                    links.append((child.kind, place, self.node(entry, child.kind, child.children, out, child.numbers)))
         attributes = _canonical(own)
         identity = hashlib.blake2b(_canonical([kind, attributes, links]).encode(), digest_size=16).hexdigest()
         if identity not in self.seen:
@@ -115,8 +134,8 @@ class Shredder:
 
 #: The shape of the game envelopes.
 GAME_CHILDREN = (
-    Child("metacritic", "metacritic", False, (Child("genres", "genre"), Child("platforms", "platform", True, (Child("reviews", "review"),)))),
-    Child("playtime", "playtime", False, (Child("runs", "run"),)),
+    Child("metacritic", "metacritic", False, (Child("genres", "genre"), Child("platforms", "platform", True, (Child("reviews", "review", numbers=("score",)),))), ("score",)),
+    Child("playtime", "playtime", False, (Child("runs", "run", numbers=("hours",)),), ("main", "extra", "complete")),
 )
 
 

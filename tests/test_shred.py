@@ -91,3 +91,10 @@ def test_places_and_empty_table(spark):
     assert places('"[{}, null]"') == [(0, {}), (1, None)] and places({"2": 1, "0": None}) == [(0, None), (2, 1)] and places({}) == [(0, {})]
     assert places({"0": 1, "x": 2}) == [(0, {"0": 1, "x": 2})] and places(7) == [] and places("tbd") == []
     assert [df.count() for df in shred(spark.createDataFrame([], SCHEMA))] == [0, 0, 0]
+
+
+def test_numbers_have_one_spelling(spark, rows):
+    games = [{"title": "62", "metacritic": {"score": s}, "playtime": {"main": m}} for s, m in (("62", 1.5), (62, "1.5"), (62.0, 1.5), ("tbd", None))]
+    _, _, nodes = shred(spark.createDataFrame([(1, json.dumps({"games": games}), 0, 0)], SCHEMA))
+    assert rows(nodes.groupBy("kind").count()) == [("game", 2), ("metacritic", 2), ("playtime", 2)]
+    assert rows(nodes.where("kind = 'game'").select("attributes").distinct()) == [('{"title":"62"}',)]
