@@ -1,4 +1,8 @@
-"""Title and name normalisation as column expressions; everything stays in generated JVM code."""
+"""Title and name normalisation as column expressions, all of them in the JVM.
+
+Higher-order functions are interpreted there, so operators over many rows put shared parts into columns of their own
+(``withColumn``) and keep ``let`` for single expressions.
+"""
 
 from __future__ import annotations
 
@@ -127,15 +131,21 @@ def _variants(title: Column, key: Column) -> Column:
     return F.concat(one, F.transform(others, lambda v: F.struct(v.alias("query"), F.lit(0.97).alias("weight"))))
 
 
-def block_keys(key: Column) -> Column:
-    """Blocking keys of a title key: its first word, and its first two characters without blanks."""
-    return let(flat(key), _block_keys)
+def query_blocks(key: Column) -> Column:
+    """Blocking keys under which a title key asks: its first word, and its first two characters without blanks."""
+    return let(flat(key), lambda f: F.array(F.concat(F.lit("w:"), F.split(f, " ")[0]), _start(f)))
+
+
+def item_blocks(key: Column) -> Column:
+    """Blocking keys under which a title key is found: every word, and its first two characters without blanks.
+
+    A key asks an entry exactly if its first word is a word of the entry, or both begin with the same two characters.
+    """
+    return let(flat(key), lambda f: F.array_distinct(F.concat(F.transform(F.split(f, " "), lambda w: F.concat(F.lit("w:"), w)), F.array(_start(f)))))
 
 
-def _block_keys(f: Column) -> Column:
-    head, joined = F.split(f, " ")[0], F.replace(f, F.lit(" "), F.lit(""))
-    keys = F.array(F.when(head != "", F.concat(F.lit("w:"), head)), F.when(joined != "", F.concat(F.lit("p:"), F.substring(joined, 1, 2))))
-    return F.filter(keys, lambda k: k.isNotNull())
+def _start(f: Column) -> Column:
+    return F.concat(F.lit("p:"), F.substring(F.replace(f, F.lit(" "), F.lit("")), 1, 2))
 
 
 def console_title(title: Column) -> Column:
