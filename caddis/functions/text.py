@@ -35,6 +35,19 @@ NAME_NOISE = (
     rf"{WS}*(?:跨越世代|跨世代)(?:礼包|包|版){WS}*$",
 )
 EDITION_NAMES = "终极|完整|标准|豪华|高级|年度游戏|游戏预览|导演剪辑|重制|高清|复刻|合辑|合集|典藏|收藏|数字|黄金|决定|周年|纪念|特别|版|包|礼包"
+# What a store adds to console titles, what marks an extra, an image address with its steps, a bracket with
+# Chinese, separators at a name's ends and between a name's languages, a Latin word, and an article's disambiguation.
+CONSOLE_PAIR = rf"{WS}*[(\[]?{WS}*PS4[™®]?{WS}*[&＆]{WS}*PS5[™®]?{WS}*[)\]]?"
+CONSOLE_HITS = rf"{WS}*-?{WS}*PlayStation®{WS}*Hits"
+HANDHELD_EDITION = rf"{WS}*[-–—:]?{WS}*Nintendo Switch{WS}*2 Edition"
+EXTRAS = "soundtrack|OST|art ?book|artbook|wallpapers?"
+COVER_STEPS = "/image/(fetch|upload)/(?:[a-z]_[^/]*/)*"
+COVER_FORM = "c_fill,ar_3:4,w_400,q_auto,f_auto"
+BRACKET = rf"[(（]([^()（）]*{CJK}[^()（）]*)[)）]"
+EDGE = rf"[{WS[1:-1]}/|—–:：-]+"
+PART_SEPARATOR = rf"{WS}+[/|—–-]{WS}+"
+LATIN_WORD = r"[A-Za-z][A-Za-z'’.]{2,}"
+DISAMBIGUATION = rf"{WS}*[(（][^()（）]*(?:游戏|遊戲|电子游戏|版)[)）]{WS}*$"
 KEPT_LATIN = r"(?i)^(?:[ivxlc]+|online|vr|hd|dlc|ex|dx)$"
 
 
@@ -150,24 +163,23 @@ def _start(f: Column) -> Column:
 
 def console_title(title: Column) -> Column:
     """Title without the suffix for two console generations and without the hits label."""
-    s = replace(title, rf"{WS}*[(\[]?{WS}*PS4[™®]?{WS}*[&＆]{WS}*PS5[™®]?{WS}*[)\]]?")
-    return trim(replace(s, rf"{WS}*-?{WS}*PlayStation®{WS}*Hits"))
+    return trim(replace(replace(title, CONSOLE_PAIR), CONSOLE_HITS))
 
 
 def handheld_title(title: Column) -> Column:
     """Title without marks and without the second console's edition suffix and what follows it."""
     s = replace(title, "[™®©]")
-    return squeeze(replace(s, rf"(?i){WS}*[-–—:]?{WS}*Nintendo Switch{WS}*2 Edition{B}.*$"))
+    return squeeze(replace(s, rf"(?i){HANDHELD_EDITION}{B}.*$"))
 
 
 def is_extra(title: Column) -> Column:
     """Whether a title is a soundtrack, an art book or a wallpaper."""
-    return replace(title, "[™®©]").rlike(rf"(?i){B}(?:soundtrack|OST|art ?book|artbook|wallpapers?){B}")
+    return replace(title, "[™®©]").rlike(rf"(?i){B}(?:{EXTRAS}){B}")
 
 
-def cover_url(url: Column, form: str = "c_fill,ar_3:4,w_400,q_auto,f_auto") -> Column:
+def cover_url(url: Column, form: str = COVER_FORM) -> Column:
     """Image address with its transformation steps replaced."""
-    return replace(url, "/image/(fetch|upload)/(?:[a-z]_[^/]*/)*", f"/image/$1/{form}/")
+    return replace(url, COVER_STEPS, f"/image/$1/{form}/")
 
 
 def has_cjk(name: Column) -> Column:
@@ -176,12 +188,12 @@ def has_cjk(name: Column) -> Column:
 
 def is_mixed(name: Column) -> Column:
     """Whether a name keeps a Latin word of three or more letters that isn't a numeral or a word in common use."""
-    words = F.regexp_extract_all(name, F.lit(r"([A-Za-z][A-Za-z'’.]{2,})"), 1)
+    words = F.regexp_extract_all(name, F.lit(f"({LATIN_WORD})"), 1)
     return F.exists(words, lambda w: ~replace(w, "['’.]").rlike(KEPT_LATIN))
 
 
-def tidy(name: Column, simplified: tuple[str, str] = ("", "")) -> Column:
-    """Localized name without marks, platform noise and title quotes, full-width letters and digits made half-width.
+def tidied(name: Column, simplified: tuple[str, str] = ("", "")) -> Column:
+    """Localized name without marks and platform noise, full-width letters and digits made half-width.
 
     ``simplified`` maps characters of one Chinese orthography to the other; no map is shipped.
     """
@@ -191,52 +203,64 @@ def tidy(name: Column, simplified: tuple[str, str] = ("", "")) -> Column:
     for _ in range(2):
         for pattern in NAME_NOISE:
             s = trim(replace(s, pattern))
-    return let(s, _unquoted)
+    return s
 
 
-def _unquoted(s: Column) -> Column:
-    first = F.regexp_extract(s, rf"《[^《》]+》{WS}*", 0)
-    at = F.instr(s, first)
-    unquoted = F.concat(F.substr(s, F.lit(1), at - 1), replace(replace(first, rf"》{WS}*$", " "), "^《"), F.substr(s, at + F.length(first)))
-    s = replace(F.when(first != "", unquoted).otherwise(s), f"{WS}+", " ")
-    return trim(replace(s, rf"{WS}+([：:）)])", "$1"))
+def unquoted(s: Column) -> Column:
+    """A name without its first pair of title quotes, blanks made one, none before a closing sign."""
+    # the first pair only: what stands before it holds no complete pair
+    s = F.regexp_replace(s, rf"^((?:(?!《[^《》]+》).)*)《([^《》]+)》{WS}*", "$1$2 ")
+    return trim(replace(replace(s, f"{WS}+", " "), rf"{WS}+([：:）)])", "$1"))
 
 
-def chinese_only(name: Column) -> Column:
-    """A bracket's content if it holds all the Chinese of a name, else the name."""
-    return let(name, _chinese_only)
+def tidy(name: Column, simplified: tuple[str, str] = ("", "")) -> Column:
+    return unquoted(tidied(name, simplified))
+
 
+def is_traditional(name: Column, simplified: tuple[str, str]) -> Column:
+    """Whether a name changes under a map to the other Chinese orthography."""
+    return F.coalesce(F.translate(name, *simplified) != name, F.lit(False))
 
-def _chinese_only(name: Column) -> Column:
-    pattern = rf"[(（]([^()（）]*{CJK}[^()（）]*)[)）]"
-    bracket = F.regexp_extract(name, pattern, 0)
+
+def bracketed_chinese(name: Column) -> Column:
+    """struct<bracket, inside, whole>: a bracket with Chinese in it, its content, and whether there is one."""
+    bracket = F.regexp_extract(name, BRACKET, 0)
+    return F.struct(bracket.alias("bracket"), F.regexp_extract(name, BRACKET, 1).alias("inside"), F.coalesce(bracket != "", F.lit(False)).alias("whole"))
+
+
+def chinese_only(name: Column) -> Column:
+    """A bracket's content if it holds all the Chinese of a name, else the name."""
+    bracket = F.regexp_extract(name, BRACKET, 0)
     rest = F.replace(name, bracket, F.lit(""))
-    return F.when((bracket != "") & ~has_cjk(rest), trim(F.regexp_extract(name, pattern, 1))).otherwise(name)
+    return F.when((bracket != "") & ~has_cjk(rest), trim(F.regexp_extract(name, BRACKET, 1))).otherwise(name)
 
 
-def without_title(name: Column, title: Column) -> Column:
-    """Name with the title's first occurrence cut, if what is left is a name and not only words for editions."""
-    plain = trim(replace(F.coalesce(title, F.lit("")), "[®™©]"))
-    return let(F.struct(name.alias("name"), plain.alias("plain")), lambda s: _without(s["name"], s["plain"]))
+def marks_stripped(title: Column) -> Column:
+    return trim(replace(F.coalesce(title, F.lit("")), "[®™©]"))
 
 
-def _without(name: Column, plain: Column) -> Column:
-    at = F.instr(F.lower(name), F.lower(plain))
+def cut_title(name: Column, plain: Column, at: Column) -> Column:
+    """A name without a title that begins at a place, and without separators at its ends."""
     cut = F.concat(F.substr(name, F.lit(1), at - 1), F.lit(" "), F.substr(name, at + F.length(plain)))
-    edge = rf"[{WS[1:-1]}/|—–:：-]+"
-    rest = squeeze(replace(cut, rf"^{edge}|{edge}$"))
-    return let(rest, lambda rest: _kept_rest(name, plain, at, rest))
+    return squeeze(replace(cut, rf"^{EDGE}|{EDGE}$"))
 
 
-def _kept_rest(name: Column, plain: Column, at: Column, rest: Column) -> Column:
+def kept_rest(name: Column, plain: Column, at: Column, rest: Column) -> Column:
+    """The rest of a name without a title, if it is a name and not only words for editions; else the name."""
     chinese = replace(rest, "[^一-鿿]")
     good = (F.length(plain) >= 2) & (at > 0) & (chinese != "") & ~chinese.rlike(f"^(?:{EDITION_NAMES})+$")
     return F.when(good, rest).otherwise(name)
 
 
+def without_title(name: Column, title: Column) -> Column:
+    """Name with the title's first occurrence cut, if what is left is a name and not only words for editions."""
+    at = F.instr(F.lower(name), F.lower(marks_stripped(title)))
+    return kept_rest(name, marks_stripped(title), at, cut_title(name, marks_stripped(title), at))
+
+
 def chinese_part(name: Column, english: Column) -> Column:
     """First part with Chinese of a name in two languages, cut before the English title's last occurrence."""
-    parts = F.filter(F.split(name, rf"{WS}+[/|—–-]{WS}+"), has_cjk)
+    parts = F.filter(F.split(name, PART_SEPARATOR), has_cjk)
     s = trim(F.coalesce(F.try_element_at(parts, F.lit(1)), name))
     behind = F.instr(F.reverse(F.lower(s)), F.reverse(F.lower(english)))
     at = F.when(behind > 0, F.length(s) - behind - F.length(english) + 1).otherwise(-1)
@@ -253,6 +277,12 @@ def clean_name(name: Column, titles: list[Column]) -> Column:
     return tidy(chinese_only(s))
 
 
+def article_title(html: Column) -> Column:
+    """Title of an encyclopedia article as shown: no tags, no disambiguation in brackets at the end; null without Chinese."""
+    s = trim(replace(strip_tags(html), DISAMBIGUATION))
+    return F.when(has_cjk(s), s)
+
+
 def strip_tags(html: Column) -> Column:
     return replace(html, "<[^>]+>")
 

@@ -15,6 +15,15 @@ def keep_last(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return keep_first(df, keys, [F.col(ordinal).desc()])
 
 
+def latest(value: str, at: str, *ties: Column) -> Column:
+    """Aggregate: the value of the last row that has one (not null, not '' or []), in order of ``at``, null times first.
+
+    Among rows of one time the greatest of ``ties`` counts, or of the value itself.
+    """
+    v = F.col(value)
+    return F.max_by(v, F.when(v.isNotNull() & F.coalesce(v.cast("string") != "", F.lit(True)), F.struct(F.col(at), *(ties or (v,)))))
+
+
 def keep_shortest(df: DataFrame, keys: list[str], text: str, ordinal: str) -> DataFrame:
     """The row with the shortest text of each key, the first of equals, with the ordinal of the key's first row as ``first_seen``."""
     seen = F.min(ordinal).over(Window.partitionBy(*keys))

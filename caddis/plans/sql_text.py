@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caddis.functions.text import EDITION_NAMES, EDITION_TAIL, KEPT_LATIN, NAME_NOISE, NOISE, ROMAN, WS
+from caddis.functions.text import EDITION_NAMES, EDITION_TAIL, KEPT_LATIN, LATIN_WORD, NAME_NOISE, NOISE, ROMAN, WS
 
 
 def q(text: str) -> str:
@@ -85,7 +85,7 @@ def has_cjk(c: str) -> str:
 
 
 def is_mixed(c: str) -> str:
-    return f"len(list_filter(regexp_extract_all({c}, {q("[A-Za-z][A-Za-z'’.]{2,}")}), lambda w: NOT regexp_matches({sub('w', "['’.]")}, {q(KEPT_LATIN)}))) > 0"
+    return f"len(list_filter(regexp_extract_all({c}, {q(LATIN_WORD)}), lambda w: NOT regexp_matches({sub('w', "['’.]")}, {q(KEPT_LATIN)}))) > 0"
 
 
 def tidy(c: str) -> str:
