@@ -42,3 +42,9 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``rows`` rows (counted), else unchanged, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df in as many hash partitions as the session has for shuffles, however few bytes they hold: for work that is heavy
+    a row, which AQE would put into one task if the rows are short."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caddis.functions import text as X
-from caddis.functions.similarity import dice, same_entry, same_start
+from caddis.functions.similarity import bigram_multiset, dice, same_entry, same_start
 
 
 def one(spark, values, *columns):
@@ -63,3 +63,42 @@ def test_normalize_is_stable(spark, texts):
     rows = [(t.replace("\x00", ""),) for t in texts]
     keys = one(spark, rows, X.normalize(F.col("c0")))
     assert all(k == k.strip(" ") and "  " not in k for k in keys)
+
+
+def test_four_digit_numbers_and_noise(spark):
+    """Literal expectations for the steps that the checking SQL can't state."""
+    pairs = [("战地2042战地", "战地 2042 战地"), ("Road 2042x", "road 2042x"), ("Road™2042™Gate", "road 2042 gate"), ("XBOX Series X|S Gate", "gate"), ("Gate Xbox", "gate xbox"), ("Stone & Sand PS4 ＆ PS5", "stone and sand"), ("x X", "10 10"), ("Deluxe Edition", ""), ("I Robot i", "i robot i")]
+    assert one(spark, [(a,) for a, _ in pairs], X.normalize(F.col("c0"))) == [b for _, b in pairs]
+
+
+def test_worked_examples(spark):
+    key = X.normalize(F.col("c0"))
+    other = X.normalize(F.col("c1"))
+    pairs = [("Gears of War: Ultimate Edition", "Gears of War 2"), ("Ape Academy", "Escape Academy"), ("Ryse: Legendary", "Rysen"), ("Hellblade 2", "Senua's Saga: Hellblade II"), ("farcry 6", "Far Cry 6"), ("Disney•Pixar Up", "Disney/Pixar Up"), ("Assassin's Creed II", "Assassin's Creed 2")]
+    assert one(spark, pairs, same_entry(key, other) & same_start(key, other)) == [False, False, False, True, True, True, True]
+    assert one(spark, [("Spiritfarer: Farewell Edition",)] * 2, F.transform(X.variants(F.col("c0")), lambda v: v["query"])) == [["spiritfarer farewell", "spiritfarer"]] * 2
+    assert one(spark, [("Arcade Paradise PS4™ & PS5™",), ("Bloodborne™ PlayStation®Hits",)], X.console_title(F.col("c0"))) == ["Arcade Paradise", "Bloodborne™"]
+    assert one(spark, [("Mario Kart™ 8 - Nintendo Switch 2 Edition + Pass",), ("Plain®",)], X.handheld_title(F.col("c0"))) == ["Mario Kart 8", "Plain"]
+    assert one(spark, [("《战地风云 2042》Xbox One",), ("山羊模拟器3（Windows版）",), ("Diablo IV - 标准版",), ("女神异闻录５",), ("《战地风云3》",), ("《Control》终极合辑",), ("甲《乙》丙《丁》",)], X.tidy(F.col("c0"))) == ["战地风云 2042", "山羊模拟器3", "Diablo IV", "女神异闻录5", "战地风云3", "Control 终极合辑", "甲乙 丙《丁》"]
+    assert one(spark, [("Roboquest (机械守护者)", "Roboquest"), ("SHADOW OF THE COLOSSUS 汪达与巨像", "Shadow of the Colossus"), ("只狼", "")], X.clean_name(F.col("c0"), [F.col("c1")])) == ["机械守护者", "汪达与巨像", "只狼"]
+    assert one(spark, [("BALL x PIT — 球比伦战记", "BALL x PIT"), ("x", "y")], X.chinese_part(F.col("c0"), F.col("c1"))) == ["球比伦战记", None]
+    assert one(spark, [("God of War: Ragnarok",), ("God of War: Ragnarök",)], X.identity_key(F.col("c0"))) == ["godofwarragnarok"] * 2
+    assert one(spark, [("<i>蜘蛛侠2</i> (2023年游戏)",), ("<b>Spider</b>",), ("蜘蛛（电子游戏）",)], X.article_title(F.col("c0"))) == ["蜘蛛侠2", None, "蜘蛛"]
+    assert one(spark, [("戰國",), ("战国",), (None,)], X.is_traditional(F.col("c0"), ("戰國", "战国"))) == [True, False, False]
+
+
+def test_names_by_precedence(spark, rows):
+    from caddis.operators.naming import resolve_names
+
+    data = [
+        (1, "INSIDE", "INSIDE", "囚笼", None, "INSIDE", None), (2, "A", "重写 A", "店", "查", "A", "B"), (3, "Road", None, "空洞 Knight", "空洞骑士", "Road", "Road"),
+        (4, "Road", None, "空洞 Knight", None, "Road", None), (5, "Road", None, "English", None, "Road", None), (6, "Old Road", None, "New Road 新路", None, "Old Road", "New Road"), (7, "X", None, "戰國", "战", "X", None),
+    ]
+    df = spark.createDataFrame(data, "id int, t string, o string, s string, l string, title string, match string")
+    got = rows(resolve_names(df, "id", "o", "s", "l", ["title", "match"], ("戰國", "战国")))
+    assert got == [(1, None, "override"), (2, "重写 A", "override"), (3, "空洞骑士", "lookup"), (4, "空洞 Knight", "store"), (5, None, None), (6, "新路", "store"), (7, "战国", "store")]
+
+
+def test_long_texts_have_multisets(spark):
+    (n, distinct) = one(spark, [("ab" * 3000,), ("x",)], F.size(bigram_multiset(F.col("c0"))), F.size(F.array_distinct(bigram_multiset(F.col("c0")))))[0]
+    assert n == distinct == 5999
