@@ -48,3 +48,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """df in as many hash partitions as the session has for shuffles, however few bytes they hold: for work that is heavy
     a row, which AQE would put into one task if the rows are short."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """df as it is read, but dealt out to all cores if its files give them too few partitions, as small tables do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
