@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caddis.session import filled
+
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("CADDIS_TOKENIZERS", "/opt/tokenizers")
 #: Characters encoded at once; texts are never cut, so a batch ends with the text that reaches it.
@@ -205,7 +207,7 @@ def _encoded(df: DataFrame, key: str, text: str, path: str, counts_only: bool) -
                 yield pa.RecordBatch.from_arrays([part.column(0), result], ["id", "result"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, result {'int' if counts_only else 'array<int>'}")
+    out = filled(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"id {kind}, result {'int' if counts_only else 'array<int>'}")
     return out.select(F.col("id").alias(key), F.col("result").alias("tokens" if counts_only else "ids"))
 
 
@@ -214,8 +216,8 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     A null text and an empty text both have the ids ``[]``; special tokens' strings are ordinary text. Every row gives
     one row, repeated keys and null keys too; other columns are ignored; an empty table gives no rows. Texts are
-    encoded whole, whatever their length. The vocabulary file must lie at ``path`` on every executor. There is no
-    shuffle: each partition is encoded where it is read.
+    encoded whole, whatever their length. The vocabulary file must lie at ``path`` on every executor. Each
+    partition is encoded where it is read, without a shuffle unless there are fewer partitions than cores.
     """
     return _encoded(df, key, text, path or f"{TOKENIZERS}/byte_bpe_50k.json", False)
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caddis.session import filled
+
 #: Units of the shortest passage that labels a sampled line as standing earlier: words, and characters of scripts
 #: without blanks; units after which a line without punctuation ends.
 WORDS, CHARACTERS, LINE_UNITS = 5, 9, 12
@@ -276,17 +278,18 @@ def _examples(texts: list[str], seed: int = SEED) -> list[tuple[np.ndarray, np.n
     marks = (plain.covered * 2 > plain.units).astype(int)
     cuts = np.searchsorted(plain.doc, np.arange(len(texts[::2]) + 1))
     out += [(plain.features[a:b], marks[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-    for text in texts[1::2]:
-        said = _said_again(text, rng)
-        if not said:
-            continue
-        whole = lines(["\n".join(s for s, _ in said)])
-        # the same lines, each sentence by itself, tell which sentence a line is of
-        own = [len(lines([s]).units) for s, _ in said]
-        labels = np.repeat([y for _, y in said], own)
-        if len(labels) == len(whole.units):
+    said = [s for s in (_said_again(t, rng) for t in texts[1::2]) if s]
+    whole = lines(["\n".join(s for s, _ in doc) for doc in said])
+    # the same lines, each sentence by itself, tell which sentence a line is of
+    sentences = [s for doc in said for s, _ in doc]
+    own = np.bincount(lines(sentences).doc, minlength=len(sentences))
+    cuts, at = np.searchsorted(whole.doc, np.arange(len(said) + 1)), 0
+    for doc, a, b in zip(said, cuts, cuts[1:]):
+        labels = np.repeat([y for _, y in doc], own[at : at + len(doc)])
+        at += len(doc)
+        if len(labels) == b - a > 0:
             # what the document itself said again before anything was planted is repetition, too
-            out.append((whole.features, np.maximum(labels, (whole.covered * 2 > whole.units).astype(int))))
+            out.append((whole.features[a:b], np.maximum(labels, (whole.covered[a:b] * 2 > whole.units[a:b]).astype(int))))
     return out
 
 
@@ -327,7 +330,8 @@ def repeated_share(df: DataFrame, key: str = "doc_id", text: str = "text", label
 
     A null text has null counts and share; a text without words has 0 units and a share of 0. Each row gives one row;
     keys may repeat; other columns are ignored; an empty table gives no rows. Whole texts are read, whatever their
-    length. There is no shuffle: documents are labelled where they are read. Without a ``labeller`` one is fitted to a
+    length. Documents are labelled where they are read, without a
+    shuffle unless there are fewer partitions than cores. Without a ``labeller`` one is fitted to a
     sample of the table first, which reads it once more.
     """
     shared = df.sparkSession.sparkContext.broadcast(labeller or sample_labeller(df, key, text))
@@ -347,7 +351,7 @@ def repeated_share(df: DataFrame, key: str = "doc_id", text: str = "text", label
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(units, mask=none), pa.array(repeated, mask=none)], ["id", "units", "repeated"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, units bigint, repeated bigint")
+    out = filled(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"id {kind}, units bigint, repeated bigint")
     share = F.when(F.col("units") > 0, F.col("repeated") / F.col("units")).when(F.col("units") == 0, F.lit(0.0))
     return out.select(F.col("id").alias(key), "units", "repeated", share.alias("share"))
 
