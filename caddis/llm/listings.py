@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caddis.llm.entities import slip_keys
-from caddis.llm.titles import parse_title
+from caddis.llm.titles import parse_title, spans
 from caddis.session import cut
 
 #: Subword buckets and dimensions of the encoder; names that train it, steps and batch of training.
@@ -25,6 +25,8 @@ BUCKETS, DIMENSIONS = 16_384, 32
 TRAINING_NAMES, STEPS, BATCH, TEMPERATURE, SEED = 4_000, 150, 256, 0.07, 11
 #: Greatest number of lists, names that fit their centres, names of one group of lists and of a query block.
 LISTS, CENTRE_NAMES, GROUP_NAMES, QUERY_BLOCK = 2_048, 20_000, 40_000, 4_000
+#: Names that must agree in a fact with and without a phrase for it to be a seller's, their least share, and the most phrases.
+AGREED, AGREED_SHARE, PHRASES = 3, 0.35, 2_000
 #: Neighbours of a name, beside which all names nearer than NEAR are kept; names that tune the probes, and the recall wanted.
 NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 16, 0.85, 200, 0.95
 #: Greatest length of a name, blanks included, that meets others on its one-letter deletions, too.
@@ -184,7 +186,37 @@ def judged(a: str, b: str, cosine: float) -> int:
     return SAME if cosine >= least else PERHAPS
 
 
-def named(df: DataFrame, key: str, title: str, facts: list[str]) -> DataFrame:
+def seller_phrases(df: DataFrame, title: str, facts: list[str]) -> frozenset[str]:
+    """Phrases that sellers add to titles, learned from all listings.
+
+    A phrase is tried wherever it begins or ends a part of a title and another listing is called what is left without
+    it. If the two share a fact (a release date, a localized name) for many different names, it says nothing about the
+    item; a subtitle, a number or a kind of item goes with other facts. A phrase is a seller's if AGREED names or more
+    agree, and at least AGREED_SHARE of the names whose facts can be compared. Names and facts count once, however many
+    listings have them; at most PHRASES phrases, those with the most names, reach the driver.
+    """
+
+    @F.pandas_udf("struct<whole:string,phrases:array<struct<phrase:string,rest:string>>>")
+    def tried(titles):
+        import pandas as pd
+
+        found = [spans(t) for t in titles]
+        return pd.DataFrame({"whole": [w for w, _ in found], "phrases": [[{"phrase": p, "rest": r} for p, r in ps] for _, ps in found]})
+
+    known = F.filter(F.array(*[F.struct(F.lit(i).alias("kind"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("value")) for i, c in enumerate(facts)]), lambda f: f["value"].isNotNull())
+    rows = df.select(F.col(title).alias("_t"), F.explode(known).alias("f")).where("trim(_t) <> ''").select("_t", "f.kind", F.xxhash64("f.value").alias("fact"))
+    rows = cut(rows.distinct().withColumn("_s", tried("_t")))
+    whole = rows.select(F.xxhash64("_s.whole").alias("rest"), "kind", "fact").distinct()
+    asked = rows.select("kind", "fact", F.explode("_s.phrases").alias("p")).select("p.phrase", F.xxhash64("p.rest").alias("rest"), "kind", "fact").distinct()
+    there = asked.join(whole.select("rest", "kind").distinct(), ["rest", "kind"])
+    agree = there.join(whole.withColumn("_same", F.lit(1)), ["rest", "kind", "fact"], "left")
+    names = agree.groupBy("phrase", "rest").agg(F.max("_same").alias("_same"))
+    counts = names.groupBy("phrase").agg(F.count("_same").alias("agreed"), F.count("*").alias("names"))
+    kept = counts.where((F.col("agreed") >= AGREED) & (F.col("agreed") >= F.lit(AGREED_SHARE) * F.col("names")))
+    return frozenset(r[0] for r in kept.orderBy(F.col("agreed").desc(), "phrase").limit(PHRASES).collect())
+
+
+def named(df: DataFrame, key: str, title: str, facts: list[str], learned: frozenset[str] = frozenset(), adverts: bool = True) -> DataFrame:
     """(id, name, numeric, subtitle, facts) of each listing: its name's segments in order; number, kind and amount; the
     subtitle behind a number, null for none; other facts."""
 
@@ -192,7 +224,7 @@ def named(df: DataFrame, key: str, title: str, facts: list[str]) -> DataFrame:
     def parts(titles):
         import pandas as pd
 
-        read = [parse_title(t) for t in titles]
+        read = [parse_title(t, learned, adverts) for t in titles]
         return pd.DataFrame({"name": [p.core for p in read], "numeric": [p.numeric for p in read], "subtitle": [p.subtitle or None for p in read]})
 
     known = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.nullif(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(facts)]).cast("array<string>"), lambda f: f.isNotNull())
@@ -470,7 +502,7 @@ def joined_names(names: DataFrame, facts: DataFrame) -> DataFrame:
     return components(checked.where(sure).select("a", "b").unionByName(supported).distinct())
 
 
-def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = ()) -> DataFrame:
+def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = (), adverts: bool = False) -> DataFrame:
     """(id, name, numeric, group): listings with the group of their item.
 
     Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
@@ -480,10 +512,12 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
     inside their names agree too: a spelling that stands with another number still joins the others. Names between two
     cosines need a listing each that agree in one of the ``facts`` columns (null and empty ones agree with nothing). A
     numbered game's listings with two different subtitles are two items; one without a subtitle joins those with one if
-    they have no other. The group's id is a hash of the least hash of the joined names and of what must agree. An empty
+    they have no other. Sellers' phrases are learned from the listings' facts (``seller_phrases``); ``adverts`` sets a short
+    list of common ones aside as well, for tables too small to learn from. The group's id is a hash of the least hash of the joined names and of what must agree. An empty
     table gives no rows.
     """
-    rows = named(df, key, title, list(facts)).distinct()
+    learned = seller_phrases(df, title, list(facts)) if facts else frozenset()
+    rows = named(df, key, title, list(facts), learned, adverts).distinct()
     rows = cut(rows.withColumn("n", F.xxhash64("name")).withColumn("m", F.when(F.col("subtitle").isNotNull(), F.xxhash64("subtitle"))))
     names = rows.select("n", "name").unionByName(rows.where("m IS NOT NULL").select(F.col("m").alias("n"), F.col("subtitle").alias("name"))).dropDuplicates(["n"])
     label = cut(joined_names(names, rows.select("n", F.explode("facts").alias("fact")).distinct()))

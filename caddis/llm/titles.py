@@ -13,7 +13,8 @@ from functools import lru_cache
 
 from caddis.llm.scripts import consistent_form
 
-# Words that sellers add to a title.
+# Words that sellers add to a title. Adverts are listed for single titles only (matching entities); the
+# grouping of listings learns them from the corpus.
 PLATFORMS = (
     r"(?:for )?xbox series x ?[|/] ?s(?: (?:and|&) pc)?",
     r"(?:for )?xbox (?:one|360|series)",
@@ -48,6 +49,7 @@ ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii":
 
 _NOISE = re.compile(r"(?<![a-z0-9])(?:" + "|".join([*PLATFORMS, *EDITIONS]) + r")(?![a-z0-9])")
 _ADS = re.compile(r"(?<![a-z0-9])(?:" + "|".join(a for a in ADVERTS if not a.startswith(r"\+")) + r")(?![a-z0-9])|\+ ?bonus content")
+_CALL = re.compile(r"(?<![a-z0-9])(?:new|now) ?!")  # a cry is no part of a name
 _MAKER = re.compile(rf"^\W*{MAKERS} presents\b|\bby {MAKERS}(?=\W*$)|^\W*{MAKERS} ?:|[(\[]{MAKERS}[)\]]")
 _TRACK = re.compile(r"(?<![a-z])(?:(?:the )?original soundtrack|soundtrack|o\.?s\.?t\.?)(?![a-z])")
 _MEMBER = re.compile(r"(?<![a-z])(?:season )?(?:membership|pass)(?![a-z])")
@@ -125,16 +127,58 @@ def _plain(part: str) -> str:
     return part
 
 
+_WORD = re.compile(r"[^\W_]+")
+#: Words of the longest phrase that sellers add, and of the shortest that is learned: single words can be names.
+PHRASE_WORDS = (5, 2)
+
+
+def _without_noise(text: str) -> list[str]:
+    return [p for p in _CUT.split(_NOISE.sub(" | ", fold(text))) if _WORD.search(p)]
+
+
+def spans(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """(all words run together, [(phrase, the other words run together)]): phrases of up to PHRASE_WORDS words that begin or
+    end a part of the title, platform and edition words aside. What a title would be without each of them."""
+    parts = [_WORD.findall(p) for p in _without_noise(text)]
+    out = {}
+    for i, words in enumerate(parts):
+        for n in range(PHRASE_WORDS[1], min(PHRASE_WORDS[0], len(words)) + 1):
+            for a in {0, len(words) - n}:
+                rest = "".join(w for j, p in enumerate(parts) for w in (p if j != i else p[:a] + p[a + n :]))
+                if rest:
+                    out[" ".join(words[a : a + n]), rest] = None
+    return "".join(w for p in parts for w in p), list(out)
+
+
+def _trimmed(part: str, learned: frozenset[str]) -> str:
+    """A part without the learned phrases it begins or ends with."""
+    again = True
+    while again:
+        again = False
+        words = list(_WORD.finditer(part))
+        for n in range(min(PHRASE_WORDS[0], len(words)), PHRASE_WORDS[1] - 1, -1):
+            if " ".join(w.group() for w in words[:n]) in learned:
+                part, again = part[words[n - 1].end() :], True
+                break
+            if " ".join(w.group() for w in words[-n:]) in learned:
+                part, again = part[: words[-n].start()], True
+                break
+    return part
+
+
 def _number(text: str) -> int | None:
     return int(text) if text.isdigit() else NUMBER_WORDS.get(text) or ROMAN.get(text)
 
 
 @lru_cache(maxsize=100_000)
-def parse_title(text: str) -> Title:
-    """The parts of a title. A title made of nothing but seller's words keeps them as its name."""
+def parse_title(text: str, learned: frozenset[str] = frozenset(), adverts: bool = True) -> Title:
+    """The parts of a title. A title made of nothing but seller's words keeps them as its name.
+
+    ``learned`` are seller's phrases found in the corpus; ``adverts`` says whether the listed ones are set aside, too.
+    """
     s = re.sub(r"[a-z]+", lambda m: _mended(m.group()), fold(text))
     whole = s
-    s = _MAKER.sub(" ", _ADS.sub(" ", s))
+    s = _MAKER.sub(" ", (_ADS if adverts else _CALL).sub(" ", s))
     kind, amount = "game", 0
     if m := _AMOUNT.search(s):
         digits = m.group(1).rstrip(".,")
@@ -152,7 +196,10 @@ def parse_title(text: str) -> Title:
         s = _TRACK.sub(" | ", s)
     s = _MAKER.sub(" ", _NOISE.sub(" | ", s))
     number, base = 1, None
-    parts = [p.strip(" -,.!'\"") for p in _CUT.split(s)]
+    parts = _CUT.split(s)
+    if learned:
+        parts = [_trimmed(p, learned) for p in parts]
+    parts = [p.strip(" -,.!'\"") for p in parts]
     parts = [p for p in parts if re.search(r"[^\W_]", p) and p not in ("edition", "version", "pack", "bundle", "for", "the", "and")]
     for i, p in enumerate(parts):
         found = [m for m in _SERIES.finditer(p) if m.start() > 0 and _number(m.group(1))]

@@ -147,3 +147,18 @@ def test_a_spelling_with_another_number_bridges(spark):
     by = {r["id"]: r["group"] for r in L.group_listings(spark.createDataFrame(data, "product_id string, title string")).collect()}
     assert by["a"] == by["b"] and by["u"] == by["v"]  # each two slips apart; the right spelling stands with a number only
     assert by["c"] == by["e"] and len({by[i] for i in "acdxuw"}) == 6 and by["x"] == by["y"] == by["z"]
+
+
+def test_sellers_phrases_are_learned_and_subtitles_are_not(spark, names):
+    data = []
+    for i, n in enumerate(names[:60]):
+        day = f"20{10 + i % 10}-0{1 + i % 9}-1{i % 9}"
+        data.append((f"{i}a", n, day, f"名{i}"))
+        data.append((f"{i}b", f"{n} - {('Seen On Stage', 'Hidden Oath', 'Grand Old Stock')[i % 3]}", day if i % 3 != 1 else f"2001-{1 + i % 9:02d}-{1 + i % 20:02d}", None))
+    data += [("x", "  ", "2001-01-01", None), ("y", None, None, None), ("z", "Long " * 3000, None, "q"), data[0]]
+    df = spark.createDataFrame(data, "product_id string, title string, day string, zh string")
+    learned = L.seller_phrases(df, "title", ["day", "zh"])
+    assert {"seen on stage", "grand old stock"} <= learned and not any("oath" in p for p in learned)
+    by = {r["id"]: r["group"] for r in L.group_listings(df, facts=("day", "zh")).collect()}
+    assert all((by[f"{i}a"] == by[f"{i}b"]) == (i % 3 != 1) for i in range(60))
+    assert L.seller_phrases(df.limit(0), "title", ["day"]) == frozenset()
