@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caddis.llm.entities import slip_keys
-from caddis.llm.titles import parse_title, spans
+from caddis.llm.titles import fold, parse_title, spans
 from caddis.session import cut
 
 #: Subword buckets and dimensions of the encoder; names that train it, steps and batch of training.
@@ -27,6 +27,8 @@ TRAINING_NAMES, STEPS, BATCH, TEMPERATURE, SEED = 4_000, 150, 256, 0.07, 11
 LISTS, CENTRE_NAMES, GROUP_NAMES, QUERY_BLOCK = 2_048, 20_000, 40_000, 4_000
 #: Names that must agree in a fact with and without a phrase for it to be a seller's, their least share, and the most phrases.
 AGREED, AGREED_SHARE, PHRASES = 3, 0.35, 2_000
+#: Names of makers that must end with a word for it to mark a maker.
+MAKER_NAMES = 3
 #: Neighbours of a name, beside which all names nearer than NEAR are kept; names that tune the probes, and the recall wanted.
 NEIGHBOURS, NEAR, TUNING_NAMES, RECALL = 16, 0.85, 200, 0.95
 #: Greatest length of a name, blanks included, that meets others on its one-letter deletions, too.
@@ -216,7 +218,17 @@ def seller_phrases(df: DataFrame, title: str, facts: list[str]) -> frozenset[str
     return frozenset(r[0] for r in kept.orderBy(F.col("agreed").desc(), "phrase").limit(PHRASES).collect())
 
 
-def named(df: DataFrame, key: str, title: str, facts: list[str], learned: frozenset[str] = frozenset(), adverts: bool = True) -> DataFrame:
+def maker_words(df: DataFrame, columns: list[str]) -> tuple[str, ...]:
+    """Last words of the makers' names in some columns that MAKER_NAMES different names of two words or more end with; at
+    most PHRASES of them, those of the most names."""
+    if not columns:
+        return ()
+    names = df.select(F.explode(F.array(*[F.lower(F.trim(F.col(c).cast("string"))) for c in columns])).alias("n")).where("n LIKE '% %'").distinct()
+    counts = names.groupBy(F.regexp_extract("n", r"(\S+)$", 1).alias("word")).agg(F.count("*").alias("names")).where(F.col("names") >= MAKER_NAMES)
+    return tuple(sorted({fold(r[0]) for r in counts.orderBy(F.col("names").desc(), "word").limit(PHRASES).collect()} - {""}))
+
+
+def named(df: DataFrame, key: str, title: str, facts: list[str], learned: frozenset[str] = frozenset(), adverts: bool = True, makers: tuple[str, ...] = ()) -> DataFrame:
     """(id, name, numeric, subtitle, facts) of each listing: its name's segments in order; number, kind and amount; the
     subtitle behind a number, null for none; other facts."""
 
@@ -224,7 +236,7 @@ def named(df: DataFrame, key: str, title: str, facts: list[str], learned: frozen
     def parts(titles):
         import pandas as pd
 
-        read = [parse_title(t, learned, adverts) for t in titles]
+        read = [parse_title(t, learned, adverts, makers) for t in titles]
         return pd.DataFrame({"name": [p.core for p in read], "numeric": [p.numeric for p in read], "subtitle": [p.subtitle or None for p in read]})
 
     known = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.nullif(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(facts)]).cast("array<string>"), lambda f: f.isNotNull())
@@ -502,7 +514,7 @@ def joined_names(names: DataFrame, facts: DataFrame) -> DataFrame:
     return components(checked.where(sure).select("a", "b").unionByName(supported).distinct())
 
 
-def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = (), adverts: bool = False) -> DataFrame:
+def group_listings(df: DataFrame, key: str = "product_id", title: str = "title", facts: tuple[str, ...] = (), makers: tuple[str, ...] = (), adverts: bool = False) -> DataFrame:
     """(id, name, numeric, group): listings with the group of their item.
 
     Listings without a title or key are in no group and left out; repeated rows of one listing count once; two titles
@@ -512,12 +524,13 @@ def group_listings(df: DataFrame, key: str = "product_id", title: str = "title",
     inside their names agree too: a spelling that stands with another number still joins the others. Names between two
     cosines need a listing each that agree in one of the ``facts`` columns (null and empty ones agree with nothing). A
     numbered game's listings with two different subtitles are two items; one without a subtitle joins those with one if
-    they have no other. Sellers' phrases are learned from the listings' facts (``seller_phrases``); ``adverts`` sets a short
+    they have no other. Sellers' phrases are learned from the listings' facts (``seller_phrases``), makers' words from the
+    ``makers`` columns (``maker_words``); ``adverts`` sets a short
     list of common ones aside as well, for tables too small to learn from. The group's id is a hash of the least hash of the joined names and of what must agree. An empty
     table gives no rows.
     """
     learned = seller_phrases(df, title, list(facts)) if facts else frozenset()
-    rows = named(df, key, title, list(facts), learned, adverts).distinct()
+    rows = named(df, key, title, list(facts), learned, adverts, maker_words(df, list(makers))).distinct()
     rows = cut(rows.withColumn("n", F.xxhash64("name")).withColumn("m", F.when(F.col("subtitle").isNotNull(), F.xxhash64("subtitle"))))
     names = rows.select("n", "name").unionByName(rows.where("m IS NOT NULL").select(F.col("m").alias("n"), F.col("subtitle").alias("name"))).dropDuplicates(["n"])
     label = cut(joined_names(names, rows.select("n", F.explode("facts").alias("fact")).distinct()))

@@ -13,6 +13,7 @@ from caddis.llm.packing import pack, packing_report
 from caddis.llm.repetition import repeated_share, repetitive
 from caddis.llm.scripts import lookalike_pairs, with_consistent_form
 from caddis.llm.titles import localized_name
+from caddis.session import cut
 from caddis.sources.tables import table
 
 
@@ -83,20 +84,20 @@ def _latest(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
-    """One row per product of the three catalogues: its latest non-empty title, localized name and full release date."""
+    """One row per product of the three catalogues: its latest non-empty title, localized name, full release date and makers."""
 
     @F.pandas_udf("string")
     def local(titles):
         return titles.map(localized_name, na_action="ignore")
 
-    parts = [table(spark, d, t).select("product_id", "title", "title_zh", "release_date", "fetched_at") for t in ("xgp", "psplus", "switch_catalog")]
-    rows = _latest(parts[0].unionByName(parts[1]).unionByName(parts[2]), "title", "title_zh", "release_date")
+    parts = [table(spark, d, t).select("product_id", "title", "title_zh", "release_date", "developer", "publisher", "fetched_at") for t in ("xgp", "psplus", "switch_catalog")]
+    rows = _latest(parts[0].unionByName(parts[1]).unionByName(parts[2]), "title", "title_zh", "release_date", "developer", "publisher")
     day = F.substring("release_date", 1, 10)
     return rows.withColumn("release_date", F.when(day.rlike(r"^\d{4}-\d\d-\d\d$"), day)).withColumn("title_zh", local("title_zh"))
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    return group_listings(listings(spark, d), facts=("release_date", "title_zh"))
+    return group_listings(cut(listings(spark, d)), facts=("release_date", "title_zh"), makers=("developer", "publisher"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -43,14 +43,14 @@ ADVERTS = (
     r"pre-?order bonus",
     r"(?:buy|play) now ?!?",
 )
-MAKERS = r"[a-z]+ (?:collective|interactive|digital|entertainment|games|studios?|works|forge|lab|team|arts)"
+#: Last words of makers' names, for titles without a table of makers; the grouping of listings learns its own.
+MAKERS = ("collective", "interactive", "digital", "entertainment", "games", "studio", "studios", "works", "forge", "lab", "team", "arts")
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12, "xiii": 13}
 
 _NOISE = re.compile(r"(?<![a-z0-9])(?:" + "|".join([*PLATFORMS, *EDITIONS]) + r")(?![a-z0-9])")
 _ADS = re.compile(r"(?<![a-z0-9])(?:" + "|".join(a for a in ADVERTS if not a.startswith(r"\+")) + r")(?![a-z0-9])|\+ ?bonus content")
 _CALL = re.compile(r"(?<![a-z0-9])(?:new|now) ?!")  # a cry is no part of a name
-_MAKER = re.compile(rf"^\W*{MAKERS} presents\b|\bby {MAKERS}(?=\W*$)|^\W*{MAKERS} ?:|[(\[]{MAKERS}[)\]]")
 _TRACK = re.compile(r"(?<![a-z])(?:(?:the )?original soundtrack|soundtrack|o\.?s\.?t\.?)(?![a-z])")
 _MEMBER = re.compile(r"(?<![a-z])(?:season )?(?:membership|pass)(?![a-z])")
 _SPAN = re.compile(r"(?<![a-z0-9.])(\d+|one|two|three|four|five|six)[ -]*(months?|mos?|years?|yrs?)(?![a-z])\.?")
@@ -127,6 +127,13 @@ def _plain(part: str) -> str:
     return part
 
 
+@lru_cache(maxsize=16)
+def _maker(words: tuple[str, ...]) -> re.Pattern:
+    """A maker's name where a title sets it apart: before "presents" or a colon, after "by", in brackets."""
+    name = rf"[a-z]+ (?:{'|'.join(map(re.escape, words))})" if words else r"(?!)"
+    return re.compile(rf"^\W*{name} presents\b|\bby {name}(?=\W*$)|^\W*{name} ?:|[(\[]{name}[)\]]")
+
+
 _WORD = re.compile(r"[^\W_]+")
 #: Words of the longest phrase that sellers add, and of the shortest that is learned: single words can be names.
 PHRASE_WORDS = (5, 2)
@@ -171,14 +178,16 @@ def _number(text: str) -> int | None:
 
 
 @lru_cache(maxsize=100_000)
-def parse_title(text: str, learned: frozenset[str] = frozenset(), adverts: bool = True) -> Title:
+def parse_title(text: str, learned: frozenset[str] = frozenset(), adverts: bool = True, makers: tuple[str, ...] = MAKERS) -> Title:
     """The parts of a title. A title made of nothing but seller's words keeps them as its name.
 
-    ``learned`` are seller's phrases found in the corpus; ``adverts`` says whether the listed ones are set aside, too.
+    ``learned`` are seller's phrases found in the corpus; ``adverts`` says whether the listed ones are set aside, too;
+    ``makers`` are the last words of makers' names.
     """
     s = re.sub(r"[a-z]+", lambda m: _mended(m.group()), fold(text))
     whole = s
-    s = _MAKER.sub(" ", (_ADS if adverts else _CALL).sub(" ", s))
+    maker = _maker(makers)
+    s = maker.sub(" ", (_ADS if adverts else _CALL).sub(" ", s))
     kind, amount = "game", 0
     if m := _AMOUNT.search(s):
         digits = m.group(1).rstrip(".,")
@@ -194,7 +203,7 @@ def parse_title(text: str, learned: frozenset[str] = frozenset(), adverts: bool
     elif _TRACK.search(s):
         kind = "music"
         s = _TRACK.sub(" | ", s)
-    s = _MAKER.sub(" ", _NOISE.sub(" | ", s))
+    s = maker.sub(" ", _NOISE.sub(" | ", s))
     number, base = 1, None
     parts = _CUT.split(s)
     if learned:

@@ -162,3 +162,10 @@ def test_sellers_phrases_are_learned_and_subtitles_are_not(spark, names):
     by = {r["id"]: r["group"] for r in L.group_listings(df, facts=("day", "zh")).collect()}
     assert all((by[f"{i}a"] == by[f"{i}b"]) == (i % 3 != 1) for i in range(60))
     assert L.seller_phrases(df.limit(0), "title", ["day"]) == frozenset()
+
+
+def test_makers_words_are_learned_from_their_columns(spark):
+    data = [("a", f"{n} Kontor", None) for n in ("Amo", "Bel", "Cor")] + [("b", "Dun Kontor", "Eri Werk"), ("c", None, "Fen Werk"), ("d", "", "Solo"), ("e", "Amo Kontor", "Amo Werkstatt")]
+    df = spark.createDataFrame(data, "product_id string, developer string, publisher string")
+    assert L.maker_words(df, ["developer", "publisher"]) == ("kontor",) and L.maker_words(df, []) == ()
+    assert parse_title("Kilre Kontor: Velvet Road", makers=("kontor",)).core == "velvetroad" != parse_title("Kilre Kontor: Velvet Road", makers=()).core
