@@ -157,11 +157,13 @@ def _pack(items: DataFrame, salt: int, buckets: dict[str, int], capacities: dict
         out["room"] = (capacity - used[bins]).astype(np.int64)
         out["bucket"] = pdf["bucket"]
         out["certified"] = n <= bound
+        # the emptiest container is open in any case: partitions that each meet their bound may not meet that of all
+        out["last"] = bins == (capacity - used).argmax()
         return out
 
     number = F.create_map(*[x for k, b in buckets.items() for x in (F.lit(k), F.lit(b))])[F.col("kind")]
     placed = items.withColumn("bucket", F.pmod(F.xxhash64("row", "piece", F.lit(salt)), number).cast("int"))
-    return placed.groupBy("kind", "bucket").applyInPandas(run, "kind string, row bigint, piece int, size bigint, bin bigint, room bigint, bucket int, certified boolean")
+    return placed.groupBy("kind", "bucket").applyInPandas(run, "kind string, row bigint, piece int, size bigint, bin bigint, room bigint, bucket int, certified boolean, last boolean")
 
 
 def pack(items: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "tokens", rounds: int = ROUNDS, partition_items: int = PARTITION_ITEMS) -> DataFrame:
@@ -174,8 +176,8 @@ def pack(items: DataFrame, capacities: dict[str, int], key: str = "doc_id", size
     left out by the caller, else ValueError. An empty table gives no rows.
 
     Rows are numbered once in a checkpoint and spread over buckets by a hash of that number, so no key can make a bucket
-    large. Each round keeps certified buckets and full containers, and exchanges the rest between fewer, newly drawn
-    buckets; a kind's exchange is kept only if it saves containers. A kind in a single bucket has no other to exchange
+    large. Each round keeps full containers and certified buckets, but for the emptiest container of each, and exchanges the
+    rest between fewer, newly drawn buckets; a kind's exchange is kept only if it saves containers. A kind in a single bucket has no other to exchange
     with: its containers are opened and packed anew within the bucket (``packed_partition``).
     """
     if any(not c or c <= 0 for c in capacities.values()):
@@ -208,7 +210,7 @@ def pack(items: DataFrame, capacities: dict[str, int], key: str = "doc_id", size
                 best = None
                 break
             packed = packed.where(F.col("kind").isin(saved))
-        open_ = ~F.col("certified") & (F.col("room") > 0)
+        open_ = (~F.col("certified") | F.col("last")) & (F.col("room") > 0)
         done.append(packed.where(~open_).select("kind", "row", "piece", "size", name))
         best = packed.where(open_)
         numbers = {r["kind"]: r["count"] for r in best.groupBy("kind").count().collect()}
