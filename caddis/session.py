@@ -51,6 +51,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def filled(df: DataFrame) -> DataFrame:
-    """df as it is read, but dealt out to all cores if its files give them too few partitions, as small tables do."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """df as it is read, but dealt out to all cores if its files give them too few partitions, as small tables do.
+
+    A plan with a shuffle in it is left as it is: asking for its partitions would run it.
+    """
+    cores, execution = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df

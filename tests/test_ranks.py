@@ -49,3 +49,13 @@ def test_a_cluster_needs_a_shared_checkpoint_folder(spark):
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session)
+
+
+def test_small_inputs_are_dealt_out(spark, tmp_path):
+    from caddis.session import filled
+
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(1).write.parquet(path)
+    assert filled(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = spark.read.parquet(path).groupBy("id").count()
+    assert filled(grouped) is grouped
