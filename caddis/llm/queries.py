@@ -24,9 +24,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its consistent form, with the number of other products' rows that look the same but are spelled
+    otherwise (``links``). Rows are counted by form and by spelling, so a form that very many share is one row there."""
     parts = [("psplus.title", "psplus", "title"), ("xgp.title_zh", "xgp", "title_zh")]
     rows = [table(spark, d, t).select(F.lit(f).alias("field"), "product_id", F.col(c).alias("text")).distinct() for f, t, c in parts]
-    return with_consistent_form(rows[0].unionByName(rows[1]), "text")
+    forms = cut(with_consistent_form(rows[0].unionByName(rows[1]), "text"))
+    spelled = forms.where("consistent <> ''").groupBy("field", "consistent", "text").agg(F.count("*").alias("_n"))
+    alike = spelled.groupBy("field", "consistent").agg(F.sum("_n").alias("_all"))
+    links = spelled.join(alike, ["field", "consistent"]).select("field", "text", (F.col("_all") - F.col("_n")).alias("links"))
+    return forms.join(links, ["field", "text"], "left").select("field", "product_id", "text", "consistent", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def scored_games(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +107,11 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _grouped(spark, d).select(F.col("id").alias("product_id"), F.col("group").alias("group_id"))
+    """Every listing with its group and the number of the group's other listings (``links``)."""
+    groups = _grouped(spark, d).select(F.col("id").alias("product_id"), F.col("group").alias("group_id")).distinct()
+    groups = cut(groups)
+    sizes = groups.groupBy("group_id").agg((F.count("*") - 1).alias("links"))
+    return groups.join(sizes, "group_id").select("product_id", "group_id", "links")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
