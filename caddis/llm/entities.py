@@ -15,7 +15,7 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caddis.llm.titles import Title, parse_title
@@ -292,7 +292,6 @@ def match_records(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     points, members = signatures(left)
     entries, _ = signatures(right)
     scored = fit_posteriors(cut(candidate_pairs(points, entries)))
-    w = Window.partitionBy("l_sig").orderBy(F.col("posterior").desc(), "r_id")
-    best = scored.withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    chosen = best.where(F.col("posterior") > threshold).select(F.col("l_sig").alias("sig"), "r_id", F.col("posterior").alias("confidence"))
+    best = scored.groupBy("l_sig").agg(F.min_by(F.struct("r_id", "posterior"), F.struct((-F.col("posterior")).alias("p"), F.col("r_id"))).alias("b"))
+    chosen = best.where(F.col("b.posterior") > threshold).select(F.col("l_sig").alias("sig"), "b.r_id", F.col("b.posterior").alias("confidence"))
     return members.join(chosen, "sig").select(F.col("_id").alias("l_id"), "r_id", "confidence")
