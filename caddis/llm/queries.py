@@ -51,7 +51,9 @@ def scored_games(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return blended_ranking(scored_games(spark, d), "product_id", {"critic": 1, "user": 1, "review_count": 1})[0]
+    """One ranking of the games; the projection is shown to six decimals, the position is by its full value."""
+    ranked = blended_ranking(scored_games(spark, d), "product_id", {"critic": 1, "user": 1, "review_count": 1})[0]
+    return ranked.withColumn("projection", F.floor(F.col("projection") * 1e6 + 0.5) / 1e6)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -161,4 +163,24 @@ QUERIES = {
     "p9_shares": p9_shares,
 }
 
-ORACLE: dict[str, str] = {}
+_SCORES = ("critic", "user", "review_count")
+_PAIRS = ((0, 1), (0, 2), (1, 2))
+_RANKED = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE END AS r{i}" for i, c in enumerate(_SCORES))
+_Z = ", ".join(f"(r{i} - avg(r{i}) OVER ()) / nullif(stddev_pop(r{i}) OVER (), 0) AS z{i}" for i in range(3))
+# the first component by power iteration, from equal loadings
+_STEP = [" + ".join("w%d" % j if i == j else f"c{min(i, j)}{max(i, j)} * w{j}" for j in range(3)) for i in range(3)]
+
+ORACLE: dict[str, str] = {
+    "p4_ranking": f"""WITH RECURSIVE one AS (
+  SELECT product_id, CASE WHEN metacritic.score > 0 THEN metacritic.score::DOUBLE END AS critic, regexp_extract(metacritic.url, '([^/]+)/*$', 1) AS slug,
+    row_number() OVER (PARTITION BY product_id ORDER BY fetched_at DESC NULLS LAST, CASE WHEN metacritic.score > 0 THEN metacritic.score END DESC NULLS LAST, regexp_extract(metacritic.url, '([^/]+)/*$', 1) NULLS FIRST) AS k FROM games),
+u AS (SELECT slug, CASE WHEN score > 0 THEN score END AS "user", review_count::DOUBLE AS review_count FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY review_count DESC NULLS LAST, score DESC NULLS LAST) AS k FROM mc_user_cache WHERE slug IS NOT NULL AND status = 'hit') WHERE k = 1),
+g AS (SELECT product_id, critic, u."user", u.review_count FROM one LEFT JOIN u USING (slug) WHERE k = 1),
+r AS (SELECT product_id, {", ".join(f'g."{c}"' for c in _SCORES)}, {_RANKED.replace("user", '"user"')} FROM g),
+z AS MATERIALIZED (SELECT *, {_Z} FROM r),
+c AS MATERIALIZED (SELECT {", ".join(f"coalesce(corr(z{i}, z{j}), 0) AS c{i}{j}" for i, j in _PAIRS)} FROM z),
+w AS (SELECT 0 AS n, 1.0::DOUBLE AS w0, 1.0::DOUBLE AS w1, 1.0::DOUBLE AS w2 UNION ALL SELECT n + 1, a / sqrt(a * a + b * b + d * d), b / sqrt(a * a + b * b + d * d), d / sqrt(a * a + b * b + d * d) FROM (SELECT n, {_STEP[0]} AS a, {_STEP[1]} AS b, {_STEP[2]} AS d FROM w, c WHERE n < 2000)),
+f AS (SELECT * FROM w WHERE n = 2000),
+p AS (SELECT product_id, critic, "user", review_count, CASE WHEN coalesce(z0, z1, z2) IS NOT NULL THEN coalesce(z0, 0) * w0 + coalesce(z1, 0) * w1 + coalesce(z2, 0) * w2 END AS projection FROM z, f)
+SELECT product_id, critic, "user", review_count, floor(projection * 1e6 + 0.5) / 1e6 AS projection, row_number() OVER (ORDER BY projection DESC NULLS LAST, product_id NULLS FIRST) AS position FROM p""",
+}

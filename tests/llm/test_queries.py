@@ -37,3 +37,15 @@ def test_every_query_runs(spark):
 
     for name in ("p4_ranking", "p6_matches", "p8_report", "p9_shares", "p7_ids"):
         assert Q.QUERIES[name](spark, SMALL).count() > 0, name
+
+
+def test_ranking_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from caddis.llm import queries as Q
+
+    con = duckdb.connect()
+    for name in ("games", "mc_user_cache"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+    columns = ["product_id", "critic", "user", "review_count", "projection", "position"]
+    got = sorted(map(tuple, Q.p4_ranking(spark, SMALL).select(*columns).collect()), key=repr)
+    assert got == sorted(con.sql(Q.ORACLE["p4_ranking"]).select(*[f'"{c}"' for c in columns]).fetchall(), key=repr)
