@@ -169,3 +169,31 @@ def test_makers_words_are_learned_from_their_columns(spark):
     df = spark.createDataFrame(data, "product_id string, developer string, publisher string")
     assert L.maker_words(df, ["developer", "publisher"]) == ("kontor",) and L.maker_words(df, []) == ()
     assert parse_title("Kilre Kontor: Velvet Road", makers=("kontor",)).core == "velvetroad" != parse_title("Kilre Kontor: Velvet Road", makers=()).core
+
+
+def test_leaves_no_files_but_its_result(spark, names, monkeypatch):
+    """No step's shuffle files stay when it is done, nor checkpoints that nothing is yet to read; the setting for it doesn't either."""
+    import time
+
+    from caddis import session
+
+    made, dropped = [], []
+    folder = lambda df: df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    cut, drop = session.cut, session.drop_cut
+    monkeypatch.setattr(L, "cut", lambda df: made.append(cut(df)) or made[-1])
+    monkeypatch.setattr(L, "drop_cut", lambda *cuts: dropped.extend(map(folder, cuts)) or drop(*cuts))
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in manager.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    there = shuffles()
+    data = [(f"{i}-{j}", t, 1, n) for i, n in enumerate(names[:60]) for j, t in enumerate((f"{n} (PS5)", n[:4] + n[5:]))]
+    groups = L.group_listings(spark.createDataFrame(data, SCHEMA), facts=("name",))
+    kept = {folder(df) for df in made} - set(dropped)
+    assert len(made) > 10 and folder(groups) in kept and len(kept) <= 3  # the result, and the last edges and links
+    fs = lambda path: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not any(fs(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs(p)) for p in dropped)
+    until = time.time() + 20
+    while shuffles() - there and time.time() < until:  # Spark removes them in the background
+        time.sleep(0.2)
+    assert not shuffles() - there
+    assert spark.conf.get(session.FREE_SHUFFLES, None) is None
+    assert groups.count() == len(data) and groups.groupBy("group").count().where("count = 2").count() > 50
