@@ -73,6 +73,17 @@ def test_scans_are_split_until_no_part_is_too_large(spark):
         C.split_scan(df, ["y"], 10)
 
 
+def test_what_facets_cannot_cut_is_cut_by_a_key(spark):
+    df = spark.createDataFrame([(f"o'{i % 2}", None if i % 50 == 0 else f"k'{i // 3:03}") for i in range(200)], "x string, k string")
+    parts = C.split_scan(df, ["x"], 10, key="k")
+    assert sum(n for _, n in parts) == 200 and all(n <= 10 and df.where(f).count() == n for f, n in parts)
+    assert df.where(" OR ".join(f"({f})" for f, _ in parts)).count() == 200
+    numbers = spark.range(1000).withColumn("x", F.lit(1))
+    assert [n for _, n in C.split_scan(numbers, ["x"], 400, key="id")] == [400, 400, 200]
+    with pytest.raises(ValueError, match="cannot be split"):
+        C.split_scan(df, ["x"], 1, key="k")
+
+
 def test_flags_choices_and_pages(spark, rows):
     skus = spark.createDataFrame([(1, [({"XPA": True},), ({"XPA": None},)]), (2, [({"XPA": False},)]), (3, []), (4, None)], "i int, skus array<struct<props:map<string,boolean>>>")
     assert [r[0] for r in skus.orderBy("i").select(C.any_flag("skus", "props.XPA", True)).collect()] == [True, False, False, False]
