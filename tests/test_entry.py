@@ -46,3 +46,11 @@ def test_entry_points_exist():
     import __spark_entry__ as e
 
     assert {"p1_found", "p5_found", "best_match", "catalogue_build"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_build_matches_titles_once(con, spark, monkeypatch):
+    from caddis.plans import catalog_queries, pipeline
+
+    calls, real = [], catalog_queries.matched
+    monkeypatch.setattr(catalog_queries, "matched", lambda *a: calls.append(a) or real(*a))
+    assert pipeline.built(spark, SMALL, ("enriched", "resolve_names")).columns[-2:] == ["name", "source"] and len(calls) == 1
